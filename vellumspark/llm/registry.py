@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
+from .encoding import find_garbled
+from .lookalike import find_lookalikes, forms
 from .split import split_oversized
 from .tokenize import encode_corpus
 
 
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled paragraphs with their repaired text."""
+    return find_garbled(spark, {name: read_table(spark, sf_dir, name, "doc_id", "paragraphs") for name in ("extracted_documents", "cleaned_documents")})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_repaired(spark, sf_dir).select("tab", "doc_id", "para_idx")
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every line of rich_paragraphs."""
+    return forms(read_table(spark, sf_dir, "rich_paragraphs"), "line_id", "text").dropDuplicates(["row_key"])
+
+
+def p4_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that look like others but are made of other characters, with their consistent form."""
+    return find_lookalikes(spark, read_table(spark, sf_dir, "rich_paragraphs"), *(read_table(spark, sf_dir, n) for n in ("extracted_documents", "cleaned_documents")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_changed(spark, sf_dir).select("tab", "row_key", "para_idx")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized chunk."""
     return split_oversized(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "extracted_documents"), read_table(spark, sf_dir, "chunk_limits"))
@@ -25,6 +50,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
+    "p4_found": p4_found,
+    "p4_changed": p4_changed,
+    "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
