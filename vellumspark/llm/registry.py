@@ -3,14 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .encoding import find_garbled
+from .language import detect, wrong_labels
 from .lookalike import find_lookalikes, forms
 from .split import split_oversized
 from .tokenize import encode_corpus
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(spark, read_table(spark, sf_dir, "extracted_documents", "doc_id", "lang", "paragraphs"), read_table(spark, sf_dir, "cleaned_documents", "paragraphs"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong label, and paragraphs with a sentence in another language."""
+    return wrong_labels(_languages(spark, sf_dir))
+
+
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document."""
+    return _languages(spark, sf_dir).select("doc_id", "label", F.col("main").alias("lang"), F.col("main_confidence").alias("confidence")).dropDuplicates(["doc_id"])
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of each segment of every document."""
+    return _languages(spark, sf_dir).filter("para_idx is not null").select("doc_id", "para_idx", "lang", "confidence", "n_chars").distinct()
+
+
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled paragraphs with their repaired text."""
     return find_garbled(spark, {name: read_table(spark, sf_dir, name, "doc_id", "paragraphs") for name in ("extracted_documents", "cleaned_documents")})
@@ -50,6 +71,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_documents": p2_documents,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
