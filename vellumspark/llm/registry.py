@@ -10,6 +10,7 @@ from .encoding import find_garbled
 from .language import detect, wrong_labels
 from .lookalike import find_lookalikes, forms
 from .split import split_oversized
+from .subjects import document_subjects
 from .tokenize import encode_corpus
 
 
@@ -70,6 +71,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
 
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document and how many paragraphs are about each."""
+    return document_subjects(spark, *(read_table(spark, sf_dir, n) for n in ("documents", "subject_areas", "subject_labels")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_documents": p2_documents,
@@ -82,6 +92,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_subjects": p8_subjects,
 }
 
 ORACLE = {
