@@ -12,6 +12,21 @@ from .lookalike import find_lookalikes, forms
 from .split import split_oversized
 from .subjects import document_subjects
 from .tokenize import encode_corpus
+from .truncation import by_source, cut_off
+
+
+def p1_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that were cut, with their text and score."""
+    return cut_off(spark, *(read_table(spark, sf_dir, n) for n in ("section_slots", "slot_assignments", "cleaned_documents")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_cut(spark, sf_dir).select("tab", "doc_id", "slot_id", "para_idx")
+
+
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return by_source(*(read_table(spark, sf_dir, n) for n in ("section_slots", "slot_assignments")), p1_found(spark, sf_dir), read_table(spark, sf_dir, "extracted_documents"))
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +96,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_cut": p1_cut,
+    "p1_sources": p1_sources,
     "p2_found": p2_found,
     "p2_documents": p2_documents,
     "p2_segments": p2_segments,
