@@ -9,6 +9,7 @@ from ..sources.tables import read_table
 from .encoding import find_garbled
 from .language import detect, wrong_labels
 from .lookalike import find_lookalikes, forms
+from .mixing import mix, shares
 from .split import split_oversized
 from .subjects import document_subjects
 from .tokenize import encode_corpus
@@ -86,6 +87,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the listed sources: each of its documents with its number of copies."""
+    return mix(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actual share of each source in the mix."""
+    return shares(p7_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects of every document and how many paragraphs are about each."""
     return document_subjects(spark, *(read_table(spark, sf_dir, n) for n in ("documents", "subject_areas", "subject_labels")))
@@ -110,6 +121,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_subjects": p8_subjects,
 }
