@@ -37,6 +37,7 @@ EPOCHS = 5
 RATE = 0.5
 BATCH = 128
 SEED = 20260101
+CACHE_SENTENCES = 100_000
 #: Texts are rejected below the confidence at which the share of right answers is this much under its best on held-out sentences;
 #: a share, since some held-out labels are wrong themselves.
 REJECT_LOSS = 0.001
@@ -45,7 +46,6 @@ WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯါ-ှ�][^\W\d_]*)*|[က-ဿ၌-႟]+")
 #: Ends of sentences: after a stop with its closing marks before something that isn't a small letter, after the Myanmar stop, at line breaks.
 SENTENCE = re.compile(r"(?<=။)\s*|(?<=[.!?;])\s+(?![a-zà-ÿ])|(?<=[.!?][”“»’)\]])\s+(?![a-zà-ÿ])|\s*[\n\r]+\s*|\s+\|\s+")
 WHOLE = re.compile(r"[.!?။;．。]['\"”“»’)\]]*\s*\Z")
-CODE = re.compile(r"[A-Z]{2,}\Z")
 
 
 def label_code(label: str | None) -> str | None:
@@ -57,8 +57,8 @@ def label_code(label: str | None) -> str | None:
 def words(text: str) -> list[str]:
     """The words in small letters, without codes in capitals."""
     found = WORD.findall(text)
-    if len(found) > 1 and not all(w.isupper() for w in found):
-        found = [w for w in found if not CODE.match(w)]
+    if len(found) > 1 and not text.isupper():
+        found = [w for w in found if not (w.isupper() and len(w) > 1 and w.isascii())]
     return [w.lower() for w in found]
 
 
@@ -244,23 +244,28 @@ def segments(docs: DataFrame, model, cost) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair, net = Repairer(cost.value), model.value
+        known: dict[str, tuple[int, float, int, bool]] = {}  # repeated sentences, as of headings and standing phrases, are read once
         for b in batches:
-            where, texts, chars, whole = [], [], [], []
+            where, order, fresh = [], [], {}
+            if len(known) > CACHE_SENTENCES:
+                known.clear()
             for k, paragraphs in enumerate(b.column(2).to_pylist()):
                 for i, p in enumerate(paragraphs or ()):
-                    if not p:
-                        continue
-                    for s in sentences(form(repair.text(p)[0])):
-                        w = words(s)
-                        if w:
+                    if p:
+                        for s in sentences(form(repair.text(p)[0])):
                             where.append((k, i))
-                            texts.append(w)
-                            chars.append(sum(map(len, w)))
-                            whole.append(is_whole(s, w))
-            got, conf = net.predict(texts)
+                            order.append(s)
+                            if s not in known and s not in fresh:
+                                fresh[s] = words(s)
+            got, conf = net.predict(list(fresh.values()))
+            for (s, w), lang, c in zip(fresh.items(), got.tolist(), conf.tolist()):
+                known[s] = (lang, c, sum(map(len, w)), bool(w) and is_whole(s, w))
             rows: list[list] = []
             total = np.zeros((b.num_rows, len(LANGUAGES), 2))
-            for (k, i), lang, c, n, full in zip(where, got.tolist(), conf.tolist(), chars, whole):
+            for (k, i), s in zip(where, order):
+                lang, c, n, full = known[s]
+                if not n:
+                    continue
                 if lang >= 0:
                     total[k, lang] += n, c * n
                 last = rows[-1] if rows else None
@@ -303,6 +308,6 @@ def detect(spark: SparkSession, docs: DataFrame, cleaned: DataFrame) -> DataFram
 
 def wrong_labels(found: DataFrame) -> DataFrame:
     """(doc_id, para_idx, lang): documents whose label isn't their language (-1), and paragraphs with a whole sentence in another."""
-    documents = found.filter("main is not null").filter(~F.col("main").eqNullSafe(label_column("label"))).select("doc_id", F.lit(-1).alias("para_idx"), F.col("main").alias("lang"))
-    mixed = found.filter("whole and lang is not null and lang <> main").select("doc_id", "para_idx", "lang")
-    return documents.unionByName(mixed).distinct()
+    wrong = F.when(F.col("main").isNotNull() & ~F.col("main").eqNullSafe(label_column("label")), F.struct("doc_id", F.lit(-1).alias("para_idx"), F.col("main").alias("lang")))
+    mixed = F.when(F.col("whole") & (F.col("lang") != F.col("main")), F.struct("doc_id", "para_idx", "lang"))
+    return found.select(F.explode(F.array_compact(F.array(wrong, mixed))).alias("x")).select("x.*").distinct()
