@@ -38,9 +38,8 @@ RATE = 0.5
 BATCH = 128
 SEED = 20260101
 CACHE_SENTENCES = 100_000
-#: Texts are rejected below the confidence at which the share of right answers is this much under its best on held-out sentences;
-#: a share, since some held-out labels are wrong themselves.
-REJECT_LOSS = 0.001
+#: Share of right answers that the texts just above the rejection have.
+LOCALLY_RIGHT = 0.8
 
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯါ-ှ�][^\W\d_]*)*|[က-ဿ၌-႟]+")
 #: Ends of sentences: after a stop with its closing marks before something that isn't a small letter, after the Myanmar stop, at line breaks.
@@ -162,21 +161,28 @@ def train(texts: list[list[str]], labels: np.ndarray, seed: int = SEED) -> Model
 
 
 def calibrate(model: Model, texts: list[list[str]], labels: np.ndarray) -> Model:
-    """Fits the temperature by likelihood and the rejection by the share of right answers among the accepted ones."""
+    """Fits the temperature by likelihood, and the rejection: texts are rejected below the confidence at which LOCALLY_RIGHT of them are right.
+
+    Held-out texts that the model reads with certainty as another language than their label are taken for wrongly labelled and left out.
+    """
+    model.temperature, model.least = 1.0, 0.0
+    got, conf = model.predict(texts)
+    keep = np.flatnonzero((got == labels) | (conf < 0.8))
+    texts, labels = [texts[k] for k in keep], labels[keep]
     best = None
-    for t in (0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0):
-        model.temperature, model.least = t, 0.0
+    for t in (0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0):
+        model.temperature = t
         got, conf = model.predict(texts)
         right = got == labels
         loss = -np.log(np.where(right, conf, (1 - conf) / (len(LANGUAGES) - 1)).clip(1e-6)).mean() if len(labels) else 0
         if best is None or loss < best[0]:
             best = loss, t, right, conf
     _, model.temperature, right, conf = best
-    order = np.argsort(-conf)
-    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    tail = share[len(order) // 2 :]  # over at least half of the texts
-    good = np.flatnonzero(share >= tail.max() - REJECT_LOSS) if len(tail) else []
-    model.least = float(np.clip(conf[order][good[-1]], 0.5, 0.9)) if len(good) else 0.9
+    for c in np.arange(0.5, 0.9, 0.05):
+        here = (conf >= c) & (conf < c + 0.1)
+        if here.sum() < 5 or right[here].mean() >= LOCALLY_RIGHT:
+            break
+    model.least = float(c)
     return model
 
 
