@@ -11,6 +11,7 @@ from ..functions import dictionaries as D
 from ..functions import text as T
 from ..functions.myanmar import reorder_marks
 from ..operators import fields, lines, retrieval, routing, workflow
+from ..sources import documents as files
 from ..sources.tables import read_table
 from ..streaming import autosave
 
@@ -570,6 +571,42 @@ def review_queue(spark, d):
     return rich_lines(spark, d).join(waiting, "run_id").groupBy("run_id").agg(F.max("version_no").alias("version_no"), F.count("*").alias("n_lines"), F.count_distinct("modified_by").alias("n_editors"))
 
 
+@query(f"""WITH {RICH} SELECT line_id, kind, coalesce(slot, 0) AS slot, text FROM rich""")
+def lines_json_roundtrip(spark, d):
+    r = rich_lines(spark, d).select("line_id", files.parse_line(files.lines_json(F.col("kind"), F.coalesce("slot", F.lit(0)), F.col("text"), F.col("html"))).alias("x"))
+    return r.select("line_id", "x.kind", "x.slot", "x.text")
+
+
+@query(f"""WITH {SLOT_TEXT}, t AS (SELECT * FROM {values(list(D.SECTIONS.items()))} AS t(slot, title)), b AS (SELECT st.*, CASE WHEN slot = 0 THEN text ELSE coalesce(title, '') || chr(10) || text END AS block FROM st LEFT JOIN t USING (slot))
+    SELECT run_id, version_no, string_agg(block, chr(10) || chr(10) ORDER BY slot) AS text FROM b GROUP BY 1, 2""")
+def source_text(spark, d):
+    return files.source_text(rich_lines(spark, d))
+
+
+@query("SELECT filter_kind AS kind, count(*) AS n FROM (SELECT CASE WHEN chunk_text IS NULL THEN 'empty' WHEN contains(chunk_text, chr(10)) THEN 'joined' WHEN score < 0.05 THEN 'low_confidence' ELSE 'single' END AS filter_kind FROM (SELECT DISTINCT doc_id, slot_id, chunk_text, score FROM slot_assignments)) GROUP BY 1")
+def assignment_kinds(spark, d):
+    a = read_table(spark, d, "slot_assignments", "doc_id", "slot_id", "chunk_text", "score").distinct()
+    kind = F.when(F.col("chunk_text").isNull(), "empty").when(F.col("chunk_text").contains("\n"), "joined").when(F.col("score") < 0.05, "low_confidence").otherwise("single")
+    return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT doc_id, chunk_id, string_split(regexp_replace(text, '\s+(\d+\.\d+\.?\s|▪)', chr(1) || '\1', 'g'), chr(1)) AS c FROM chunks WHERE text IS NOT NULL) SELECT doc_id, chunk_id, len(c) AS n_clauses, c[1] AS first FROM p""")
+def clause_split(spark, d):
+    c = read_table(spark, d, "chunks").filter("text is not null").select("doc_id", "chunk_id", F.split(F.regexp_replace("text", r"\s+(\d+\.\d+\.?\s|▪)", "\x01$1"), "\x01").alias("c")).distinct()
+    return c.select("doc_id", "chunk_id", F.size("c").cast("bigint").alias("n_clauses"), F.element_at("c", 1).alias("first")).distinct()
+
+
+@query("SELECT DISTINCT doc_id, chunk_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, translate(text, '•◦▪', '●●●') AS bullets FROM chunks WHERE text IS NOT NULL")
+def escapes(spark, d):
+    return read_table(spark, d, "chunks").filter("text is not null").select("doc_id", "chunk_id", T.html_escape(F.col("text")).alias("html"), F.translate("text", "•◦▪", "●●●").alias("bullets")).distinct()
+
+
+@query("""SELECT run_id, printf('%.1f MB', round(file_size_bytes / 1048576.0, 1)) AS size, greatest(coalesce(markers_count, 0) - coalesce(sections_filled, 0), 0) AS missing FROM runs WHERE file_size_bytes IS NOT NULL""")
+def run_sizes(spark, d):
+    r = read_table(spark, d, "runs").filter("file_size_bytes is not null")
+    return r.select("run_id", T.megabytes(F.col("file_size_bytes")).alias("size"), F.greatest(F.coalesce("markers_count", F.lit(0)) - F.coalesce("sections_filled", F.lit(0)), F.lit(0)).alias("missing"))
+
+
 @query()
 def autosave_stream(spark, d):
     """Sessions of autosaves as a streaming query over the whole event table, run until nothing is left."""
