@@ -35,6 +35,9 @@ FORMS = "ﬀ-ﬆ！-，．-￯\U0001d400-\U0001d7ffĲĳǄ-ǌǱ-ǳ"
 
 TABLE = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS}
 FORM = re.compile(f"[{FORMS}]")
+SPECIAL = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{FORMS}]")
+#: Letters of the scripts that have look-alikes in Latin.
+OTHER_SCRIPT = re.compile("[Ͱ-԰]")
 #: Any character that could make a text differ from its form; texts without one are left as they are at once.
 CANDIDATE = "[" + re.sub(r"[^-]", lambda c: f"\\x{{{ord(c[0]):x}}}", f"{INVISIBLE}{SPACES}{HYPHENS}{FORMS}\u0300-\u036f\u0370-\u052f\u1040\u101d\u102e") + "]|[a-z][01][a-z]"
 WORD = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
@@ -97,9 +100,13 @@ def form(text: str) -> str:
     """The consistent form of a text. Curly quotes, dashes, superscripts, fractions, ordinals and signs stay."""
     if text.isascii() and not DIGIT_IN_WORD.search(text):
         return text
-    new = FORM.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text.translate(TABLE))
-    new = unicodedata.normalize("NFC", new)
-    new = WORD.sub(lambda m: spell(m[0])[0] if not m[0].isascii() else m[0], new)
+    new = text
+    if SPECIAL.search(new):
+        new = FORM.sub(lambda m: unicodedata.normalize("NFKC", m[0]), new.translate(TABLE))
+    if not unicodedata.is_normalized("NFC", new):
+        new = unicodedata.normalize("NFC", new)
+    if OTHER_SCRIPT.search(new):
+        new = WORD.sub(lambda m: spell(m[0])[0] if not m[0].isascii() else m[0], new)
     if DIGIT_IN_WORD.search(new):
         new = WORD.sub(_digits, new)
     if "၀" in new or "ဝ" in new:
