@@ -39,10 +39,10 @@ SPECIAL = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{FORMS}]")
 #: Letters of the scripts that have look-alikes in Latin.
 OTHER_SCRIPT = re.compile("[Ͱ-԰]")
 #: Any character that could make a text differ from its form; texts without one are left as they are at once.
-CANDIDATE = "[" + re.sub(r"[^-]", lambda c: f"\\x{{{ord(c[0]):x}}}", f"{INVISIBLE}{SPACES}{HYPHENS}{FORMS}\u0300-\u036f\u0370-\u052f\u1040\u101d\u102e") + "]|[a-z][01][a-z]"
+CANDIDATE = "[" + re.sub(r"[^-]", lambda c: f"\\x{{{ord(c[0]):x}}}", f"{INVISIBLE}{SPACES}{HYPHENS}{FORMS}\u0300-\u036f\u0370-\u052f\u1040\u101d\u102e") + "]|[A-Za-z][01][a-z]"
 WORD = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
-DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[01](?=[a-z])")
+DIGIT_IN_WORD = re.compile(r"(?<=[A-Za-z])[01](?=[a-z])")
 ZERO_IN_WORD = re.compile("(?<![၀-၉])၀(?![၀-၉])")
 WA_IN_NUMBER = re.compile("(?<=[၀-၉])ဝ(?=[၀-၉]|(?![က-ဿ]))")
 BURMESE = re.compile("[က-ဿ၌-႟]")
@@ -83,7 +83,7 @@ def spell(word: str) -> tuple[str, str | None]:
 
 def _digits(m: re.Match) -> str:
     word = m[0]
-    if HEX.match(word) or sum(c.isalpha() for c in word) < 4 or any(c in "23456789" for c in word):
+    if HEX.match(word) or sum(c.isalpha() for c in word) < 3 or any(c in "23456789" for c in word):
         return word
     return DIGIT_IN_WORD.sub(lambda d: DIGITS[d[0]], word)
 
@@ -106,7 +106,7 @@ def form(text: str) -> str:
     if not unicodedata.is_normalized("NFC", new):
         new = unicodedata.normalize("NFC", new)
     if OTHER_SCRIPT.search(new):
-        new = WORD.sub(lambda m: spell(m[0])[0] if not m[0].isascii() else m[0], new)
+        new = unicodedata.normalize("NFC", WORD.sub(lambda m: spell(m[0])[0] if not m[0].isascii() else m[0], new))
     if DIGIT_IN_WORD.search(new):
         new = WORD.sub(_digits, new)
     if "၀" in new or "ဝ" in new:
