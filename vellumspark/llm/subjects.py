@@ -242,21 +242,26 @@ def sample(df: DataFrame, n_max: int, salt: int) -> DataFrame:
     return df.limit(n_max + n_max // 2)
 
 
-def fit_models(spark: SparkSession, docs: DataFrame, labels: DataFrame, subject_ids: list[int]) -> Models:
-    """At most (LANGS + 2) * BINS counts and 1.5 * (LABELLED + OTHERS) documents come to the driver."""
+def fit_models(spark: SparkSession, docs: DataFrame, labels: DataFrame, subject_ids: list[int]) -> Models | None:
+    """None without labelled documents. At most (LANGS + 2) * BINS counts and 1.5 * (LABELLED + OTHERS) documents come to the driver."""
     counts = background_counts(docs).toArrow()
     total = np.zeros((LANGS + 2, BINS))
     total[counts["slot"].to_numpy(), counts["bin"].to_numpy()] = counts["n"].to_numpy()
     number = {s: k for k, s in enumerate(subject_ids)}
     given = labels.filter(F.col("subject_id").isin(subject_ids)).groupBy("doc_id").agg(F.collect_set("subject_id").alias("subjects"))
     rows = sample(given, LABELLED, 1).join(docs.select("doc_id", "text", "lang").filter("text is not null"), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    if not rows:
+        return None
     others = sample(docs.select("doc_id", "text", "lang").filter("text is not null").join(labels, "doc_id", "left_anti"), OTHERS, 2).orderBy("doc_id").collect()
     return fit(total, [(r.text, r.lang, {number[s] for s in r.subjects}) for r in rows], [(r.text, r.lang) for r in others], len(subject_ids))
 
 
 def document_subjects(spark: SparkSession, docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject, paragraphs) of all documents, each once."""
-    names = sorted((r.subject_id, r.subject) for r in areas.select("subject_id", "subject").distinct().collect())
-    models = spark.sparkContext.broadcast(fit_models(spark, docs, labels, [n[0] for n in names]))
+    """(doc_id, subject, paragraphs) of all documents, each once; no row without subjects or labelled documents."""
+    names = sorted((r.subject_id, r.subject) for r in areas.filter("subject_id is not null").groupBy("subject_id").agg(F.min("subject").alias("subject")).collect())
+    fitted = fit_models(spark, docs, labels, [n[0] for n in names]) if names else None
+    if fitted is None:
+        return spark.createDataFrame([], "doc_id long, subject string, paragraphs int")
+    models = spark.sparkContext.broadcast(fitted)
     named = F.element_at(F.array(*[F.lit(n[1]) for n in names]), F.col("subject") + 1)
     return classify(docs, models).groupBy("doc_id", named.alias("subject")).agg(F.max("paragraphs").alias("paragraphs"))
