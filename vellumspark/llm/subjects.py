@@ -5,9 +5,9 @@ more often the subject has the word than its share of each language lets expect,
 more often the background would let expect that bigram. The background models count all documents, words by label
 language, in hashed tables of fixed size. The score of a sentence for a subject is its cross-entropy under
 the background less the one under the subject, summed over its tokens. A sentence is on the subject of its highest score
-if that, less half of the next one, reaches a threshold; a paragraph is about the subject of most of its sentences, so that a single sentence on another
+if that, less half of the next one, reaches a threshold; a paragraph is about the subject of most of its sentences if their sum reaches a second threshold, so that a single sentence on another
 subject doesn't count, and of equal ones about the one that the document has more sentences on; a document has each
-subject that at least two of its paragraphs are about. The threshold is fitted on labelled documents that the models haven't seen.
+subject that at least two of its paragraphs are about. The thresholds are fitted on labelled documents that the models haven't seen.
 
 The hand labels are few and name the document, not the sentence: a sentence of a document with several subjects belongs to all
 of them at first, then in each round to the one that the models give it, and a sentence that points to a subject the document isn't
@@ -32,13 +32,18 @@ LABELLED, OTHERS = 6000, 3000
 #: Expected counts of a bigram and of a word at which the subject's own share and the background weigh alike.
 MU_PAIR, MU_WORD = 1.0, 1.0
 ROUNDS = 3
-THRESHOLDS = (0.7, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
+#: Thresholds to choose from, of a sentence and of the sum over a paragraph's sentences on its subject.
+THRESHOLDS, PARAGRAPH_THRESHOLDS = (0.4, 0.7, 1.0, 1.5, 2.0, 2.5, 3.0), (0.0, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
+#: Thresholds for the documents that get their labels from the models.
+STRICT = (4.0, 4.0)
+#: Thresholds of the first rounds.
+FIRST = (2.0, 0.0)
 #: How much of the second highest score of a sentence is taken from its highest one.
 MARGIN = 0.5
 STEP = 2000
 
-#: Marks of ends of sentences and paragraphs as tokens.
-STOP, PARAGRAPH = "\x02", "\x03"
+#: Marks of ends of sentences and paragraphs as tokens, and of paragraphs that don't end in a stop: titles, headings, list items.
+STOP, PARAGRAPH, NO_PROSE = "\x02", "\x03", "\x04"
 
 
 class Tokens:
@@ -46,6 +51,7 @@ class Tokens:
 
     def __init__(self, texts: pa.Array, slots: np.ndarray):
         s = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        s = pc.replace_substring_regex(s, r"([^\s.!?;။\"”“»)\]])[ \t]*([\r\n\x0b\x0c]|$)", rf"\1 {NO_PROSE} \2")
         s = pc.replace_substring_regex(s, r"[\r\n\x0b\x0c]+", f" {STOP} {PARAGRAPH} ")
         s = pc.replace_substring_regex(s, r"([.!?;])([\"”“»’)\]]*)\s", rf"\1\2 {STOP} ")
         s = pc.replace_substring_regex(s, "။", f" {STOP} ")
@@ -54,7 +60,7 @@ class Tokens:
         flat = pc.list_flatten(lists).dictionary_encode()
         values = flat.dictionary.to_pylist()
         index = flat.indices.to_numpy(zero_copy_only=False)
-        kind = np.array([0 if not v.strip(".-–—…") else 1 if v == STOP else 2 if v == PARAGRAPH else 4 if any(c.isdigit() for c in v) else 3 for v in values], np.int8)
+        kind = np.array([0 if not v.strip(".-–—…") else 1 if v == STOP else 2 if v == PARAGRAPH else -1 if v == NO_PROSE else 4 if any(c.isdigit() for c in v) else 3 for v in values], np.int8)
         code = np.array([0 if k < 3 else 1 if k == 4 else zlib.crc32(v.strip(".-–—…").encode("utf-8", "surrogatepass")) for v, k in zip(values, kind)], np.uint64)
         size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(size)), size)
@@ -63,8 +69,11 @@ class Tokens:
         sentence = np.cumsum((k == 1) | (k == 2) | new_doc)
         paragraph = np.cumsum((k == 2) | new_doc)
         word = k >= 3
+        bare = np.zeros(int(paragraph[-1]) + 1 if len(paragraph) else 1, bool)
+        bare[paragraph[k == -1]] = True
         h = code[index][word] if len(index) else np.empty(0, np.uint64)
         self.doc, self.sentence, self.paragraph = doc[word], sentence[word], paragraph[word]
+        self.prose = ~bare[self.paragraph]
         slot = slots[self.doc].astype(np.uint64)
         h = np.where(h == 1, slot + np.uint64(101), h)  # codes and numbers, and below starts of sentences, are told apart by language
         self.first = np.r_[True, self.sentence[1:] != self.sentence[:-1]] if len(h) else np.empty(0, bool)
@@ -117,7 +126,7 @@ class Models:
         self.by_slot = words / np.maximum(words.sum(1, keepdims=True), 1)
         self.pairs, self.befores = counts[LANGS].astype(np.float32), counts[LANGS + 1].astype(np.float32)
         self.k = n_subjects
-        self.threshold = 2.0
+        self.threshold = FIRST
 
     def count(self, t: Tokens, slots: np.ndarray, weight: np.ndarray) -> None:
         """Takes subject counts from tokens; weight: of each token for each subject."""
@@ -141,27 +150,31 @@ class Models:
         gain = np.log((self.pair_s[t.pair] + MU_PAIR * self.ratio[t.word]) / (self.before_s[t.before] * p + MU_PAIR))
         return np.add.reduceat(gain, t.starts, axis=0)
 
-    def decide(self, t: Tokens, scores: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    def decide(self, t: Tokens, scores: np.ndarray, threshold: tuple[float, float]) -> list[tuple[int, int, int]]:
         """(document, subject, paragraphs) of each document and subject with two paragraphs about it."""
         if not len(scores):
             return []
         doc, paragraph = t.doc[t.starts], t.paragraph[t.starts]
         best = scores.argmax(1)
-        sure = certainty(scores) >= threshold
-        doc, paragraph, best = doc[sure], paragraph[sure], best[sure]
+        weight = certainty(scores)
+        sure = (weight >= threshold[0]) & t.prose[t.starts]
+        doc, paragraph, best, weight = doc[sure], paragraph[sure], best[sure], weight[sure]
         if not len(doc):
             return []
         in_doc = np.bincount(doc * self.k + best, minlength=t.n_docs * self.k)
-        key, n = np.unique(paragraph * self.k + best, return_counts=True)
+        key, place, n = np.unique(paragraph * self.k + best, return_inverse=True, return_counts=True)
+        total = np.bincount(place, weight)
         of = dict(zip(paragraph.tolist(), doc.tolist()))
         chosen: dict[int, tuple] = {}
-        for x, c in zip(key.tolist(), n.tolist()):
+        for x, c, w in zip(key.tolist(), n.tolist(), total.tolist()):
             q, s = divmod(x, self.k)
             rank = (c, int(in_doc[of[q] * self.k + s]), -s)
             if q not in chosen or rank > chosen[q][0]:
-                chosen[q] = (rank, s)
+                chosen[q] = (rank, s, w)
         about: dict[tuple[int, int], int] = {}
-        for q, (_, s) in chosen.items():
+        for q, (_, s, w) in chosen.items():
+            if w < threshold[1]:
+                continue
             about[of[q], s] = about.get((of[q], s), 0) + 1
         return [(d, s, c) for (d, s), c in about.items() if c >= 2]
 
@@ -175,7 +188,7 @@ def spread(models: Models | None, t: Tokens, labels: list[set[int]], k: int) ->
     of_sentence = allowed[t.doc[t.starts]]
     if models is not None:
         score = models.scores(t)
-        best, sure = score.argmax(1), certainty(score) >= models.threshold
+        best, sure = score.argmax(1), certainty(score) >= models.threshold[0]
         inside = of_sentence[np.arange(len(best)), best] > 0
         one = np.zeros_like(of_sentence)
         one[np.arange(len(best)), best] = 1
@@ -194,24 +207,29 @@ def fit(counts: np.ndarray, labelled: list[tuple[str, str | None, set[int]]], ot
     slots, labels = lang_slot([x[1] for x in labelled]), [x[2] for x in labelled]
     t = Tokens(pa.array([x[0] for x in labelled], pa.string()), slots)
     train = np.arange(len(labels)) % 4 > 0
-    keep = [s if train[d] else set() for d, s in enumerate(labels)]
-    m.count(t, slots, spread(None, t, keep, k))
-    for _ in range(ROUNDS):
-        m.count(t, slots, spread(m, t, keep, k))
+    both_slots = np.r_[slots, lang_slot([x[1] for x in others])].astype(np.int64)
+    both = Tokens(pa.array([x[0] for x in labelled] + [x[0] for x in others], pa.string()), both_slots)
+
+    def learn(given: list[set[int]]) -> None:
+        m.threshold = FIRST
+        m.count(t, slots, spread(None, t, given, k))
+        for _ in range(ROUNDS):
+            m.count(t, slots, spread(m, t, given, k))
+        m.threshold = STRICT
+        for _ in range(2 if others else 0):
+            more = [set(x) for x in given] + [set() for _ in others]
+            for d, s, _ in m.decide(both, m.scores(both), STRICT):
+                if d >= len(given):
+                    more[d].add(s)
+            m.count(both, both_slots, spread(m, both, more, k))
+
+    learn([s if train[d] else set() for d, s in enumerate(labels)])
     true = {(d, s) for d, subjects in enumerate(labels) if not train[d] for s in subjects}
     score = m.scores(t)
-    best = max((f_score({(d, s) for d, s, _ in m.decide(t, score, x) if not train[d]}, true), -x) for x in THRESHOLDS) if true else (0, -2.0)
-    m.threshold, m.held_out = -best[1], best[0]
-    m.count(t, slots, spread(m, t, labels, k))
-    if others:
-        slots = np.r_[slots, lang_slot([x[1] for x in others])]
-        both = Tokens(pa.array([x[0] for x in labelled] + [x[0] for x in others], pa.string()), slots)
-        for _ in range(2):
-            more = [set(x) for x in labels] + [set() for _ in others]
-            for d, s, _ in m.decide(both, m.scores(both), m.threshold):
-                if d >= len(labels):
-                    more[d].add(s)
-            m.count(both, slots, spread(m, both, more, k))
+    grid = [(a, b) for a in THRESHOLDS for b in PARAGRAPH_THRESHOLDS] if true else [FIRST]
+    m.held_out, best = max((f_score({(d, s) for d, s, _ in m.decide(t, score, x) if not train[d]}, true), x) for x in grid)
+    learn(labels)
+    m.threshold = best
     return m
 
 
