@@ -157,9 +157,9 @@ def term_stats(spark, d):
     return retrieval.term_stats(read_table(spark, d, "documents"), "doc_id")
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id AS key, round(score, 4) AS score FROM bmr WHERE rank <= 10")
+@query(f"WITH {BM25} SELECT query_id, doc_id AS key, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieval.bm25_top(spark, read_table(spark, d, "documents"), "doc_id").select("query_id", "key", F.round("score", 4).alias("score"))
+    return retrieval.bm25_top(spark, read_table(spark, d, "documents"), "doc_id").select("query_id", "key", F.col("rank").cast("bigint").alias("rank"))
 
 
 GRAMS = f"""g AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(ts, CASE WHEN len(ts) > 1 THEN list_transform(generate_series(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1]) ELSE [] END)) AS term FROM tok) GROUP BY 1, 2),
@@ -174,9 +174,9 @@ def tfidf_weights(spark, d):
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS score
-    FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def knn_cosine_topk(spark, d):
-    return retrieval.cosine_neighbours(read_table(spark, d, "embeddings")).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+    return retrieval.cosine_neighbours(read_table(spark, d, "embeddings")).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {BM25}, {GRAMS}, lex AS (SELECT query_id, doc_id, 0.3 * score / coalesce(nullif(max(score) OVER (PARTITION BY query_id), 0), 1) AS part FROM bmr WHERE rank <= 20),
@@ -201,7 +201,7 @@ def longest_query(spark, d):
 
 
 NORM = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
-LABELLED = rf"""{LINES}, ll AS (SELECT doc_id, line_idx, {STRIP.format(f"regexp_extract({S}, '^([^:{chr(9)}{chr(10)}]{{2,40}})\s*[:{chr(9)}]', 1)")} AS raw_label, {STRIP.format(f"regexp_extract({S}, '^[^:{chr(9)}{chr(10)}]{{2,40}}\s*[:{chr(9)}]([^{chr(10)}]*)', 1)")} AS value FROM lines),
+LABELLED = rf"""{LINES}, ll AS (SELECT doc_id, line_idx, {STRIP.format(rf"regexp_extract({S}, '^([^:{chr(9)}{chr(10)}]{{2,40}})\s*[:{chr(9)}]', 1)")} AS raw_label, {STRIP.format(rf"regexp_extract({S}, '^[^:{chr(9)}{chr(10)}]{{2,40}}\s*[:{chr(9)}]([^{chr(10)}]*)', 1)")} AS value FROM lines),
     lk AS (SELECT *, {NORM.format('raw_label')} AS norm FROM ll WHERE raw_label <> ''), dim AS (SELECT {NORM.format('spelling')} AS norm, arg_min(label, ord) AS label FROM {values(D.label_rows())} AS t(label, spelling, ord) GROUP BY 1),
     px AS (SELECT l.norm, arg_max(d.label, length(d.norm)) AS label FROM (SELECT DISTINCT norm FROM lk WHERE norm <> '') l JOIN dim d ON starts_with(l.norm, d.norm) AND length(d.norm) >= 4 GROUP BY 1),
     can AS (SELECT lk.doc_id, lk.line_idx, lk.raw_label, coalesce(dim.label, px.label) AS label, lk.value FROM lk LEFT JOIN dim USING (norm) LEFT JOIN px USING (norm)),
@@ -378,7 +378,7 @@ def footnotes_distinct(spark, d):
     return f.groupBy("run_id", "version_no", F.col("f.id").alias("id")).agg(F.min_by("f.body", "line_idx").alias("body"))
 
 
-@query(rf"""SELECT DISTINCT line_id, {STRIP.format("replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")} AS text FROM rich_paragraphs WHERE html IS NOT NULL""")
+@query(rf"""SELECT DISTINCT line_id, {STRIP.format(r"replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&')")} AS text FROM rich_paragraphs WHERE html IS NOT NULL""")
 def html_to_text(spark, d):
     return read_table(spark, d, "rich_paragraphs").filter("html is not null").select("line_id", T.html_text(F.col("html")).alias("text")).distinct()
 
