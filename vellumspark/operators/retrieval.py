@@ -17,10 +17,12 @@ def query_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(query_rows(), "query_id int, slot_id int, query string")
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, doc_len)"""
+def postings(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, doc_len), with ``only`` for its terms alone, which then never reach the shuffle."""
     t = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), T.tokens(F.col(text)).alias("terms"))
-    return t.select("key", F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    rows = t.select("key", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+    rows = rows if only is None else rows.join(only, "term", "left_semi")
+    return rows.groupBy("key", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def term_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -38,7 +40,7 @@ def bm25(spark: SparkSession, docs: DataFrame, key: str, text: str = "text", k1:
     """(query_id, key, score) of all texts that share a term with a query; a repeated query term counts as often as it stands."""
     q = query_table(spark).select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     terms = q.select("term").distinct()
-    hits = postings(docs, key, text).join(terms, "term", "left_semi")
+    hits = postings(docs, key, text, terms)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     one = corpus_stats(docs, text)
     weighted = hits.join(df, "term").crossJoin(F.broadcast(one))  # one row
