@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,22 @@ def sessions(events: DataFrame, gap: str = "60 minutes", late: str = "2 days") -
     return s.select("user_id", F.col("w.start").alias("first_ts"), F.col("w.end").alias("last_ts"), "n")
 
 
-def sessions_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the stream over the files that are there and gives the closed sessions, from a table in the session's catalog."""
-    name = f"autosave_{uuid.uuid4().hex[:8]}"
-    source = spark.readStream.schema(SCHEMA.replace("ts timestamp", "ts timestamp_ntz")).parquet(f"{sf_dir}/events.parque[t]")
-    stream = sessions(source.withColumn("ts", F.col("ts").cast("timestamp")))
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+def sessions_now(spark: SparkSession, sf_dir: str, gap: str = "60 minutes", late: str = "2 days") -> DataFrame:
+    """Runs the stream over the files that are there and gives all sessions, from a table under the checkpoint folder.
+
+    A second source holds one row, the end of the input, so far after the last event that the watermark closes every
+    session of the events; the row's own session stays open and is never given. All files are read in one batch, so no
+    event is late. Events without a time are in no session.
+    """
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    folder = f"{root}/autosave_{uuid.uuid4().hex}"
+    ntz = SCHEMA.replace("ts timestamp", "ts timestamp_ntz")
+    ts = F.col("ts").cast("timestamp")
+    end = spark.read.schema(ntz).parquet(f"{sf_dir}/events.parquet").agg(F.max(ts).alias("ts"))
+    end = end.select(F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr(f"interval '{late}' + interval '{gap}' + interval '{gap}'")).alias("ts"))
+    end.write.parquet(f"{folder}/end")
+    source = spark.readStream.schema(ntz).parquet(f"{sf_dir}/events.parque[t]").select("user_id", ts.alias("ts"))
+    stream = sessions(source.unionByName(spark.readStream.schema(end.schema).parquet(f"{folder}/end")), gap, late)
+    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/sessions")
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/sessions")
