@@ -84,6 +84,19 @@ def test_swapped_double_and_lost(repairer):
     assert repairer.text("qualit�")[1] and not repairer.text("“Заря” ½ café")[1] and not repairer.text("")[1]
 
 
+def test_entities_and_escapes(repairer):
+    right = "l’équipe qualité"
+    coded = lambda f: "".join(c if c.isascii() else f(c) for c in right)
+    for f in ("&#{};".format, "&#x{:x};".format, "&amp;#{};".format, "\\u{:04x}".format):
+        assert repairer.text(coded(lambda c: f(ord(c)))) == (right, True)
+    assert repairer.text("qualit&eacute;") == repairer.text("qualit\\xe9") == repairer.text("qualit&amp;eacute;") == ("qualité", True)
+    assert repairer.text("qualit&Atilde;&copy;") == repairer.text("qualit\\xc3\\xa9") == repairer.text("qualitÃ&copy;") == ("qualité", True)
+    assert repairer.text("quality &eacute; &ndash; &oacute;")[0] == "quality é – ó"
+    assert repairer.text("échantillon qualitÃ© l&rsquo;eau us&eacute;e") == ("échantillon qualité l’eau usée", True)
+    for same in ("R&amp;D &lt;b&gt; &unknown; &notit; \\x41 \\u0041", r"C:\xact\file", "a & b; c", "qualité R&D"):
+        assert repairer.text(same) == (same, False)
+
+
 def test_forms():
     f = lookalike.form
     assert f("Ｄｏｃ　ｏｎｅ") == "Doc one" and f("eﬃcient") == "efficient" and f("café") == "café"

@@ -1,11 +1,12 @@
 """Text decoded with a wrong character encoding: detection and repair.
 
-A unit (a run of characters outside ASCII with the two characters before and after it) is repaired by best-first search over operations: misread UTF-8 under a code page is
+A unit (a run of characters outside ASCII and of entities and escapes of such, with the two characters before and after it) is repaired by best-first search over operations: misread UTF-8 under a code page is
 decoded again, text of one single-byte code page that was read as another is mapped back, a no-break space that was
 stored as a plain space is put back, and entities and escapes are resolved. States are hashed and visited once. The cheapest
 open state is expanded next; its cost is the implausibility of its characters: the sum, over the
 windows of three characters with at least one outside ASCII, of the negative log share of that window among all such windows of
-the corpus; a window that the corpus lacks counts twice. The window counts are taken over all paragraphs, in a hashed table of fixed
+the corpus; a window that the corpus lacks counts twice. An entity or escape of a character outside ASCII costs as much as a character
+that the corpus lacks; those of ASCII characters are markup or code and no sign of a wrong encoding. The window counts are taken over all paragraphs, in a hashed table of fixed
 size. A unit is garbled if the cheapest text reached saves at least ``MIN_GAIN``, or if it holds U+FFFD, the mark of a lost
 character. Units repeat a lot in any language, so each worker searches each different one once.
 """
@@ -17,6 +18,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -102,20 +104,37 @@ def windows(token: str) -> np.ndarray:
 
 
 #: Runs of characters outside ASCII and Myanmar, with single visible ASCII characters between them.
-RUN = re.compile("[^\x00-\x7fက-႟]+(?:[!-~][^\x00-\x7fက-႟]+)*")
-ESCAPE = re.compile(r"&#?\w{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
+OUTSIDE = "[^\x00-\x7fက-႟]"
+RUN = re.compile(f"{OUTSIDE}+(?:[!-~]{OUTSIDE}+)*")
+#: An entity, also one whose & was made an entity again, or an escape.
+ESCAPE = re.compile(r"&(?:amp;)*(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]\w{1,30});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
+#: The same runs in texts with a & or backslash, where entities and escapes belong to them.
+RUN_ESCAPED = re.compile(f"(?:{OUTSIDE}|{ESCAPE.pattern})+(?:[!-~](?:{OUTSIDE}|{ESCAPE.pattern})+)*")
 BEFORE, AFTER = re.compile(r"\S{0,2}\Z"), re.compile(r"\S{0,2}")
 
 
+def hidden(token: str) -> int:
+    """How many characters outside ASCII stand in the token as entities or escapes."""
+
+    def is_one(found: str) -> bool:
+        if found[0] == "\\":
+            return not escapes(found).isascii()
+        name = found[1:].replace("amp;", "")
+        return (name[:1] == "#" or name in html5) and not html.unescape(f"&{name}").isascii()
+
+    return sum(map(is_one, ESCAPE.findall(token))) if "&" in token or "\\" in token else 0
+
+
 class Repairer:
     """Searches units under a table of window costs; keeps the results of up to CACHE_UNITS units."""
 
     def __init__(self, cost: np.ndarray):
         self.table = cost
+        self.escaped = 3 * float(cost.max())
         self.known: dict[str, tuple[str, float]] = {}
 
     def cost(self, token: str) -> float:
-        return float(self.table[windows(token)].sum())
+        return float(self.table[windows(token)].sum()) + self.escaped * hidden(token)
 
     def search(self, token: str) -> tuple[str, float]:
         start = self.cost(token)
@@ -153,17 +172,14 @@ class Repairer:
             return text, False
         out: list[str] = []
         done = 0
-        for pattern in (RUN, ESCAPE) if "&" in text or "\\" in text else (RUN,):
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                before, after = BEFORE.search(text[max(0, a - 2) : a])[0], AFTER.match(text, b)[0]
-                new = self.unit(before, m[0], after)
-                if new is not None:
-                    out += text[done:a], new
-                    done = b
-            if out:
-                return "".join(out) + text[done:], True
-        return text, False
+        for m in (RUN_ESCAPED if "&" in text or "\\" in text else RUN).finditer(text):
+            a, b = m.span()
+            before, after = BEFORE.search(text[max(0, a - 2) : a])[0], AFTER.match(text, b)[0]
+            new = self.unit(before, m[0], after)
+            if new is not None:
+                out += text[done:a], new
+                done = b
+        return ("".join(out) + text[done:], True) if out else (text, False)
 
 
 def window_counts(*columns: DataFrame) -> DataFrame:
