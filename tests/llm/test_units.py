@@ -97,6 +97,27 @@ def test_entities_and_escapes(repairer):
         assert repairer.text(same) == (same, False)
 
 
+def test_search_ends_only_when_no_state_is_open(repairer):
+    bad = "é"
+    for page in ("cp1252", "latin-1", "cp1252", "latin-1"):
+        bad = "".join(chr(b) if b < 128 else encoding.code_page(page)[b - 128] for b in bad.encode())
+    asked: list[str] = []
+    own = encoding.Repairer(repairer.table)
+    plain = own.cost
+    own.cost = lambda t: asked.append(t) or plain(t)
+    best, _ = own.search(bad)
+    assert best == "é" and len(set(asked)) > 40
+    reached, open_ones = {(bad, False)}, [(bad, False)]
+    while open_ones:
+        text, swapped = open_ones.pop()
+        new = {(op(text), swapped or swaps) for op, swaps in encoding.OPERATIONS if not (swaps and swapped)} - reached
+        reached |= new
+        open_ones += new
+    assert set(asked) == {t for t, _ in reached}
+    for t in ("é", "l’é – ½", "", "abc", "မူé"):
+        assert abs(plain(t) - repairer.table[encoding.windows(t)].sum()) < 1e-3
+
+
 def test_forms():
     f = lookalike.form
     assert f("Ｄｏｃ　ｏｎｅ") == "Doc one" and f("eﬃcient") == "efficient" and f("café") == "café"

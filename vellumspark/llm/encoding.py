@@ -2,8 +2,9 @@
 
 A unit (a run of characters outside ASCII and of entities and escapes of such, with the two characters before and after it) is repaired by best-first search over operations: misread UTF-8 under a code page is
 decoded again, text of one single-byte code page that was read as another is mapped back, a no-break space that was
-stored as a plain space is put back, and entities and escapes are resolved. States are hashed and visited once. The cheapest
-open state is expanded next; its cost is the implausibility of its characters: the sum, over the
+stored as a plain space is put back, and entities and escapes are resolved. States are hashed and visited once, until no state is
+open: all operations but the mapping, of which a way has one, shorten the text or can't follow themselves, so the states of a unit are
+finite (at most 7,740 in the test tables) and the result is the cheapest of all. The cheapest open state is expanded next; its cost is the implausibility of its characters: the sum, over the
 windows of three characters with at least one outside ASCII, of the negative log share of that window among all such windows of
 the corpus; a window that the corpus lacks counts twice. An entity or escape of a character outside ASCII costs as much as a character
 that the corpus lacks; those of ASCII characters are markup or code and no sign of a wrong encoding. The window counts are taken over all paragraphs, in a hashed table of fixed
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 BINS = 1 << 20
 MIN_GAIN = 3.0
-MAX_STATES = 40
 CACHE_UNITS = 200_000
 LOST = "�"
 
@@ -50,15 +50,22 @@ class Misread:
     def __init__(self, name: str):
         page = code_page(name)
         self.byte = {c: 128 + k for k, c in enumerate(page)}
+        self.decoded: dict[str, str] = {}
         part = lambda a, b: "[" + "".join(re.escape(page[x - 128]) for x in range(a, b + 1)) + "]"
         tail = part(0x80, 0xBF)
         self.sequence = re.compile(f"{part(0xC2, 0xDF)}{tail}|{part(0xE0, 0xEF)}{tail}{{2}}|{part(0xF0, 0xF4)}{tail}{{3}}")
 
     def _decode(self, m: re.Match) -> str:
-        try:
-            return bytes(self.byte[c] for c in m[0]).decode("utf-8")
-        except UnicodeDecodeError:
-            return m[0]
+        found = m[0]
+        new = self.decoded.get(found)
+        if new is None:
+            try:
+                new = bytes(self.byte[c] for c in found).decode("utf-8")
+            except UnicodeDecodeError:
+                new = found
+            if len(self.decoded) < CACHE_UNITS:
+                self.decoded[found] = new
+        return new
 
     def __call__(self, text: str) -> str:
         return self.sequence.sub(self._decode, text)
@@ -103,6 +110,12 @@ def windows(token: str) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(17))) % np.uint64(BINS)).astype(np.int64)
 
 
+def window(three: str) -> int:
+    """The bin of one window."""
+    mixed = sum(ord(c) * m for c, m in zip(three, MIX.tolist()))
+    return (mixed ^ (mixed >> 17)) % BINS
+
+
 #: Runs of characters outside ASCII and Myanmar, with single visible ASCII characters between them.
 OUTSIDE = "[^\x00-\x7fက-႟]"
 RUN = re.compile(f"{OUTSIDE}+(?:[!-~]{OUTSIDE}+)*")
@@ -131,24 +144,39 @@ class Repairer:
     def __init__(self, cost: np.ndarray):
         self.table = cost
         self.escaped = 3 * float(cost.max())
-        self.known: dict[str, tuple[str, float]] = {}
+        self.known: dict[str, str | None] = {}
+        self.by_window: dict[str, float] = {}
 
     def cost(self, token: str) -> float:
-        return float(self.table[windows(token)].sum()) + self.escaped * hidden(token)
+        total, padded = 0.0, f" {token} "
+        for k in range(len(token)):
+            w = padded[k : k + 3]
+            c = self.by_window.get(w)
+            if c is None:
+                if len(self.by_window) >= CACHE_UNITS:
+                    self.by_window.clear()
+                c = self.by_window[w] = 0.0 if w.isascii() else float(self.table[window(w)])
+            total += c
+        return total + self.escaped * hidden(token)
 
     def search(self, token: str) -> tuple[str, float]:
         start = self.cost(token)
         best, least = token, start
-        seen = {token}
+        seen = {token: False}  # and whether a mapping is on every way found so far
         queue = [(start, token, False)]
-        while queue and len(seen) < MAX_STATES:
-            cost, text, swapped = heapq.heappop(queue)
+        while queue:
+            _, text, swapped = heapq.heappop(queue)
+            if swapped and not seen[text]:
+                continue
             for op, swaps in OPERATIONS:
-                if swaps and swapped or (new := op(text)) in seen:
+                if swaps and swapped:
+                    continue
+                new, now = op(text), swapped or swaps
+                if new in seen and (now or not seen[new]):
                     continue
-                seen.add(new)
+                seen[new] = now
                 total = self.cost(new) + STEP
-                heapq.heappush(queue, (total, new, swapped or swaps))
+                heapq.heappush(queue, (total, new, now))
                 if total < least - 1e-9:
                     best, least = new, total
         return best, start - least
@@ -182,6 +210,17 @@ class Repairer:
         return ("".join(out) + text[done:], True) if out else (text, False)
 
 
+_last: Repairer | None = None
+
+
+def repairer(cost: np.ndarray) -> Repairer:
+    """The worker's repairer for a broadcast table, whose results its later tasks use again."""
+    global _last
+    if _last is None or _last.table is not cost:
+        _last = Repairer(cost)
+    return _last
+
+
 def window_counts(*columns: DataFrame) -> DataFrame:
     """(bin, n): how often the windows of each bin stand in all texts of one-column tables of arrays of strings."""
 
@@ -229,7 +268,7 @@ def garbled_paragraphs(docs: DataFrame, cost) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Repairer(cost.value)
+        r = repairer(cost.value)
         for b in batches:
             out: list[tuple] = []
             for doc, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import Repairer, window_costs
+from .encoding import repairer, window_costs
 from .lookalike import form
 
 LANGUAGES = ("en", "my", "fr", "de", "es", "pt", "nl")
@@ -249,7 +249,7 @@ def segments(docs: DataFrame, model, cost) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repair, net = Repairer(cost.value), model.value
+        repair, net = repairer(cost.value), model.value
         known: dict[str, tuple[int, float, int, bool]] = {}  # repeated sentences, as of headings and standing phrases, are read once
         for b in batches:
             where, order, fresh = [], [], {}

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import Repairer, window_costs
+from .encoding import repairer, window_costs
 
 #: Letters that look like a Latin letter (fixed values, from the public table of confusable characters).
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏкАВСЕНІЈКМОРЅТХУԚԜ", "aeopcyxijshdqwlkABCEHIJKMOPSTXYQW"))
@@ -131,7 +131,7 @@ def forms(df: DataFrame, key: str, text: str, cost=None, changed_only: bool = Fa
     candidate = CANDIDATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repair = Repairer(cost.value) if cost is not None else None
+        repair = repairer(cost.value) if cost is not None else None
         for b in batches:
             keys, texts = b.column(0), b.column(1)
             if pa.types.is_list(texts.type):
