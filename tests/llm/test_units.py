@@ -101,21 +101,21 @@ def test_search_ends_only_when_no_state_is_open(repairer):
     bad = "é"
     for page in ("cp1252", "latin-1", "cp1252", "latin-1"):
         bad = "".join(chr(b) if b < 128 else encoding.code_page(page)[b - 128] for b in bad.encode())
-    asked: list[str] = []
     own = encoding.Repairer(repairer.table)
-    plain = own.cost
-    own.cost = lambda t: asked.append(t) or plain(t)
-    best, _ = own.search(bad)
-    assert best == "é" and len(set(asked)) > 40
+    assert own.search("", bad, "")[0] == own.search("ab", bad, "c")[0] == "é" and len(own.reachable(bad)) > 40
     reached, open_ones = {(bad, False)}, [(bad, False)]
     while open_ones:
         text, swapped = open_ones.pop()
         new = {(op(text), swapped or swaps) for op, swaps in encoding.OPERATIONS if not (swaps and swapped)} - reached
         reached |= new
         open_ones += new
-    assert set(asked) == {t for t, _ in reached}
+    assert set(own.reachable(bad)) == {t for t, _ in reached}
+    for before, after in (("", ""), ("a", ""), ("ab", "c"), ("", "cd")):
+        costs = {t: own.cost(t) + encoding.STEP for t in own.reachable(before + bad + after)}
+        start = own.cost(before + bad + after)
+        assert abs(own.search(before, bad, after)[1] - (start - min(costs.values()))) < 1e-3
     for t in ("é", "l’é – ½", "", "abc", "မူé"):
-        assert abs(plain(t) - repairer.table[encoding.windows(t)].sum()) < 1e-3
+        assert abs(own.cost(t) - repairer.table[encoding.windows(t)].sum()) < 1e-3
 
 
 def test_forms():

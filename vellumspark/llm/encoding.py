@@ -1,10 +1,10 @@
 """Text decoded with a wrong character encoding: detection and repair.
 
-A unit (a run of characters outside ASCII and of entities and escapes of such, with the two characters before and after it) is repaired by best-first search over operations: misread UTF-8 under a code page is
+A unit (a run of characters outside ASCII and of entities and escapes of such, with the two characters before and after it) is repaired by a search over operations: misread UTF-8 under a code page is
 decoded again, text of one single-byte code page that was read as another is mapped back, a no-break space that was
-stored as a plain space is put back, and entities and escapes are resolved. States are hashed and visited once, until no state is
+stored as a plain space is put back, and entities and escapes are resolved. States are hashed and visited, until no state is
 open: all operations but the mapping, of which a way has one, shorten the text or can't follow themselves, so the states of a unit are
-finite (at most 7,740 in the test tables) and the result is the cheapest of all. The cheapest open state is expanded next; its cost is the implausibility of its characters: the sum, over the
+finite (at most 7,740 in the test tables) and the result is the cheapest of all. The cost of a text is the implausibility of its characters: the sum, over the
 windows of three characters with at least one outside ASCII, of the negative log share of that window among all such windows of
 the corpus; a window that the corpus lacks counts twice. An entity or escape of a character outside ASCII costs as much as a character
 that the corpus lacks; those of ASCII characters are markup or code and no sign of a wrong encoding. The window counts are taken over all paragraphs, in a hashed table of fixed
@@ -14,10 +14,10 @@ character. Units repeat a lot in any language, so each worker searches each diff
 
 from __future__ import annotations
 
-import heapq
 import html
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -146,39 +146,82 @@ class Repairer:
         self.escaped = 3 * float(cost.max())
         self.known: dict[str, str | None] = {}
         self.by_window: dict[str, float] = {}
+        self.runs: dict[tuple[str, bool], list[tuple[str, str, str, float]]] = {}
+        self.n_runs = 0
 
     def cost(self, token: str) -> float:
-        total, padded = 0.0, f" {token} "
-        for k in range(len(token)):
-            w = padded[k : k + 3]
+        return self.sum(f" {token} ") + self.escaped * hidden(token)
+
+    def sum(self, text: str) -> float:
+        """The cost of the windows of a text with what stands around it."""
+        total = 0.0
+        for k in range(len(text) - 2):
+            w = text[k : k + 3]
             c = self.by_window.get(w)
             if c is None:
                 if len(self.by_window) >= CACHE_UNITS:
                     self.by_window.clear()
                 c = self.by_window[w] = 0.0 if w.isascii() else float(self.table[window(w)])
             total += c
-        return total + self.escaped * hidden(token)
+        return total
 
-    def search(self, token: str) -> tuple[str, float]:
-        start = self.cost(token)
-        best, least = token, start
-        seen = {token: False}  # and whether a mapping is on every way found so far
-        queue = [(start, token, False)]
+    def reachable(self, text: str) -> dict[str, bool]:
+        """All texts that operations lead to, those of fewer steps first, and whether a mapping is on every way to each."""
+        seen = {text: False}
+        queue = deque([(text, False)])
         while queue:
-            _, text, swapped = heapq.heappop(queue)
-            if swapped and not seen[text]:
+            old, swapped = queue.popleft()
+            if swapped and not seen[old]:
                 continue
             for op, swaps in OPERATIONS:
                 if swaps and swapped:
                     continue
-                new, now = op(text), swapped or swaps
-                if new in seen and (now or not seen[new]):
+                new, now = op(old), swapped or swaps
+                if new not in seen or seen[new] and not now:
+                    seen[new] = now
+                    queue.append((new, now))
+        return seen
+
+    def inner(self, run: str, ends: bool) -> list[tuple[str, str, str, float]]:
+        """Of a run between ASCII characters, each text reachable with its two first and two last characters and the cost of
+        the windows within it. A run that doesn't end its unit is searched with a character after it."""
+        key = (run, ends)
+        if key not in self.runs:
+            if self.n_runs >= CACHE_UNITS:
+                self.runs.clear()
+                self.n_runs = 0
+            texts = self.reachable(run) if ends else [t[:-1] for t in self.reachable(run + "x")]
+            self.runs[key] = [(t, t[:2], t[-2:], self.sum(t)) for t in texts]
+            self.n_runs += len(texts)
+        return self.runs[key]
+
+    def search(self, before: str, run: str, after: str) -> tuple[str, float]:
+        """The cheapest text of the run and what it saves; of equal ones the one of fewest steps."""
+        start = self.cost(before + run + after)
+        best, least = run, start
+        around = before + run + after
+        if (before + after).isascii() and "&" not in around and "\\" not in around:
+            left, right = f" {before}"[-2:], f"{after} "[:2]
+            heads: dict[str, float] = {}
+            tails: dict[str, float] = {}
+            for text, head, tail, within in self.inner(run, not after):
+                if text == run:
                     continue
-                seen[new] = now
-                total = self.cost(new) + STEP
-                heapq.heappush(queue, (total, new, now))
+                if len(text) < 2:
+                    total = self.sum(left + text + right)
+                else:
+                    if head not in heads:
+                        heads[head] = self.sum(left + head)
+                    if tail not in tails:
+                        tails[tail] = self.sum(tail + right)
+                    total = heads[head] + within + tails[tail]
+                if total + STEP < least - 1e-9:
+                    best, least = text, total + STEP
+        else:
+            for text in self.reachable(around):
+                total = self.cost(text) + STEP * (text != around)
                 if total < least - 1e-9:
-                    best, least = new, total
+                    best, least = text[len(before) : len(text) - len(after)], total
         return best, start - least
 
     def unit(self, before: str, run: str, after: str) -> str | None:
@@ -187,11 +230,8 @@ class Repairer:
         if key not in self.known:
             if len(self.known) >= CACHE_UNITS:
                 self.known.clear()
-            best, gain = self.search(before + run + after)
-            if gain >= MIN_GAIN:
-                self.known[key] = best[len(before) : len(best) - len(after)]
-            else:
-                self.known[key] = run if LOST in run else None
+            best, gain = self.search(before, run, after)
+            self.known[key] = best if gain >= MIN_GAIN else run if LOST in run else None
         return self.known[key]
 
     def text(self, text: str) -> tuple[str, bool]:
