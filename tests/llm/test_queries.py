@@ -99,6 +99,15 @@ def test_p3_and_p4(spark, small):
     assert repaired == {DE[1]}
 
 
+def test_p4_forms_are_of_every_text(spark, small):
+    form = {(r.tab, r.row_key, r.para_idx): r.form for r in QUERIES["p4_forms"](spark, small).collect()}
+    want = {("extracted_documents", d[0], k) for d in rows()["extracted_documents"] for k, t in enumerate(d[6] or ()) if t is not None}
+    assert set(form) == want | {("rich_paragraphs", str(r[0]), 0) for r in rows()["rich_paragraphs"] if r[6] is not None}
+    assert form["extracted_documents", "bad", 4] == "ein Wort" and form["rich_paragraphs", "1", 0] == "the plan"
+    changed = {(r.tab, r.row_key, r.para_idx): r.form for r in QUERIES["p4_changed"](spark, small).collect()}
+    assert changed.items() <= form.items()
+
+
 def test_p5(spark, small):
     assert got(spark, "p5_found", small) == {("d0", 0), ("d3", None)}
     assert "p5_found" in ORACLE

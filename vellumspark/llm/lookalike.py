@@ -163,8 +163,13 @@ def forms(df: DataFrame, key: str, text: str, cost=None, changed_only: bool = Fa
     return df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text")).mapInArrow(run, ROWS)
 
 
-def find_lookalikes(spark: SparkSession, rich: DataFrame, extracted: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """The texts of rich_paragraphs and extracted_documents that aren't in their form, each once."""
+def all_forms(spark: SparkSession, rich: DataFrame, extracted: DataFrame, cleaned: DataFrame, changed_only: bool = False) -> DataFrame:
+    """(tab, row_key, para_idx, text, form) of the texts of rich_paragraphs and extracted_documents, each once; garbled ones are unchanged."""
     cost = spark.sparkContext.broadcast(window_costs(spark, extracted.select("paragraphs"), cleaned.select("paragraphs")))
-    parts = (forms(rich, "line_id", "text", cost, True).withColumn("tab", F.lit("rich_paragraphs"))).unionByName(forms(extracted, "doc_id", "paragraphs", cost, True).withColumn("tab", F.lit("extracted_documents")))
+    parts = (forms(rich, "line_id", "text", cost, changed_only).withColumn("tab", F.lit("rich_paragraphs"))).unionByName(forms(extracted, "doc_id", "paragraphs", cost, changed_only).withColumn("tab", F.lit("extracted_documents")))
     return parts.select("tab", "row_key", "para_idx", "text", "form").dropDuplicates(["tab", "row_key", "para_idx"])
+
+
+def find_lookalikes(spark: SparkSession, rich: DataFrame, extracted: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The texts of rich_paragraphs and extracted_documents that aren't in their form, each once."""
+    return all_forms(spark, rich, extracted, cleaned, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .encoding import find_garbled
 from .language import detect, wrong_labels
-from .lookalike import find_lookalikes, forms
+from .lookalike import all_forms, find_lookalikes
 from .mixing import mix, shares
 from .split import split_oversized
 from .subjects import document_subjects
@@ -59,8 +59,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent form of every line of rich_paragraphs."""
-    return forms(read_table(spark, sf_dir, "rich_paragraphs"), "line_id", "text").dropDuplicates(["row_key"])
+    """The consistent form of every text of rich_paragraphs and extracted_documents."""
+    return all_forms(spark, read_table(spark, sf_dir, "rich_paragraphs"), *(read_table(spark, sf_dir, n) for n in ("extracted_documents", "cleaned_documents")))
 
 
 def p4_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
