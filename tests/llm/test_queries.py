@@ -108,6 +108,14 @@ def test_p4_forms_are_of_every_text(spark, small):
     assert changed.items() <= form.items()
 
 
+def test_p7_looks_at_every_filler(spark, small, monkeypatch):
+    from vellumspark.llm import mixing
+
+    want = got(spark, "p7_mix", small)
+    monkeypatch.setattr(mixing, "FILLERS", 1)
+    assert got(spark, "p7_mix", small) == want
+
+
 def test_p5(spark, small):
     assert got(spark, "p5_found", small) == {("d0", 0), ("d3", None)}
     assert "p5_found" in ORACLE

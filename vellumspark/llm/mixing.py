@@ -31,7 +31,7 @@ STEPS, LAST = 8, 3
 SOFT = 0.2
 #: Resolution of the shift in each of the two rounds of its search.
 CELLS = 4096
-#: Documents of each source that are looked at for the last gap.
+#: Documents of each source that come to the driver at a time for the last gap.
 FILLERS = 500
 
 
@@ -194,16 +194,25 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, tokenizer: str
                 l, t, soft, u = arrays(b)
                 rate = rate_of(l, t, soft)
                 for at, i in events(rate, u, caps[l]):
-                    i = i[(at[i] >= shift[l[i]]) & (t[i] <= gap[l[i]])]
+                    doc = b.column(0).to_numpy(zero_copy_only=False)
+                    later = (at[i] > seen_at[l[i]]) | (at[i] == seen_at[l[i]]) & (doc[i] > seen_doc[l[i]])
+                    i = i[(at[i] >= shift[l[i]]) & (t[i] <= gap[l[i]]) & later]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), b.column(2).take(pa.array(i)), pa.array(at[i])], names=["doc_id", "label", "n_tokens", "at"])
 
     order = Window.partitionBy("label").orderBy("at", "doc_id")
-    more = sized.mapInArrow(next_ones, "doc_id long, label int, n_tokens int, at double").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FILLERS)
+    # FILLERS candidates of each source at a time, until a source has no further one that fits its gap.
+    seen_at, seen_doc = np.full(k, -np.inf), np.zeros(k, np.int64)
     added: dict[int, int] = {}
-    for r in sorted(more.collect(), key=lambda r: (r.label, r.rank)):
-        if r.n_tokens <= gap[r.label]:
-            gap[r.label] -= r.n_tokens
-            added[r.doc_id] = added.get(r.doc_id, 0) + 1
+    full = True
+    while full:
+        more = sized.mapInArrow(next_ones, "doc_id long, label int, n_tokens int, at double").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FILLERS)
+        full = False
+        for r in sorted(more.collect(), key=lambda r: (r.label, r.rank)):
+            if r.n_tokens <= gap[r.label]:
+                gap[r.label] -= r.n_tokens
+                added[r.doc_id] = added.get(r.doc_id, 0) + 1
+            seen_at[r.label], seen_doc[r.label] = r.at, r.doc_id
+            full |= r.rank == FILLERS
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
