@@ -185,6 +185,15 @@ def test_limits_are_lengths_with_many_values():
     assert np.flatnonzero(truncation.limits(n)).tolist() == [255]
 
 
+def test_limits_of_any_length_and_in_small_tables(spark):
+    texts = ["ab " * (10 + 7 * k) + "x" for k in range(60)] + ["y" * 32_767] * 9 + ["z" * 10_000] * 6
+    _, spikes = truncation.statistics(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.flatnonzero(spikes).tolist() == [10_000, 32_767]
+    words = np.zeros(2 * truncation.WORDS, np.int32)
+    assert truncation.features("y" * 32_767, words, spikes) != truncation.features("y" * 32_767, words, np.zeros_like(spikes))
+    assert truncation.limits(np.zeros(0, int)).sum() == 0
+
+
 def test_subject_models_on_held_out_documents():
     rng = random.Random(3)
     topics = [["the tax return", "the petty cash box", "the bank loan"], ["the relay team", "the match calendar", "the goalkeeper rota"], ["the lesson plan", "the pupil register", "the final exam"]]

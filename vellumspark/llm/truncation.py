@@ -4,7 +4,7 @@ Intact values are cut artificially, some of them at the lengths at which the tab
 systems put after a cut; a hashed logistic regression learns from their closing characters, words, punctuation and length-to-limit
 features to tell them from the values as they are. Each half of the values is judged by a fit on the other half, and the values that are probably cut
 themselves are taken out of the intact ones before the last fit. How often each word stands inside a text and at the end of a sentence, and the lengths of
-values, are counted over all values, in tables of fixed size. Every value is scored.
+values, are counted over all values, the words in a table of fixed size. Every value is scored.
 
 An exact check follows for the values with at least a small score: where the text goes on in a paragraph of the source document, the value
 is cut if that place is inside a sentence; where it ends with the paragraph, or the source has no such text, the score decides.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from .encoding import MISREAD, Misread
 
 FEATURES = 1 << 18
 WORDS = 1 << 18
-#: Lengths are counted up to this one; all longer ones together.
+#: Least number of entries of the table of frequent lengths; it is longer if a longer length is frequent.
 LENGTHS = 1 << 13
 #: Values that the classifier is fitted on (a documented bound).
 TRAIN_VALUES = 20_000
@@ -90,18 +91,23 @@ def word_counts(texts: pa.Array) -> np.ndarray:
     return total
 
 
-def length_counts(texts: pa.Array) -> np.ndarray:
-    """How many values have each length, without blanks at the ends, and without a stop at the end."""
+def length_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of values, without blanks at the ends, and without a stop at the end, and how many values have each."""
     s = pc.utf8_trim_whitespace(pc.drop_null(texts).cast(pa.large_string()))
     s = s.filter(pc.invert(pc.match_substring_regex(s, r"[.!?;:။][\"'”“»’)\]]*$")))
-    return np.bincount(np.minimum(pc.utf8_length(s).to_numpy(zero_copy_only=False), LENGTHS - 1), minlength=LENGTHS)
+    return np.unique(pc.utf8_length(s).to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
 
 
-def limits(lengths: np.ndarray) -> np.ndarray:
-    """Which lengths (of values without a stop) are far more frequent than those around them."""
-    n = lengths.astype(float)
-    around = np.array([np.median(n[max(0, k - 12) : k + 13]) for k in range(LENGTHS - 1)] + [n[-1]])
-    return (n >= 8) & (n > 6 * around + 4)
+def limits(counts: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Which lengths (of values without a stop) are far more frequent than those around them; counts: of each of ``lengths``,
+    of 0, 1, ... without them. At least 8 values must have a length, and in a table of under 8,000 values one in 1,000, at least 5."""
+    lengths = np.arange(len(counts)) if lengths is None else lengths
+    n = dict(zip(lengths.tolist(), counts.tolist()))
+    least = min(8, max(5, int(counts.sum()) // 1000))
+    found = [k for k, c in n.items() if c >= least and c > 6 * np.median([n.get(j, 0) for j in range(max(0, k - 12), k + 13)]) + 4]
+    spikes = np.zeros(max([LENGTHS, *(k + 2 for k in found)]), bool)
+    spikes[found] = True
+    return spikes
 
 
 class Tail:
@@ -142,7 +148,8 @@ def features(text: str, words: np.ndarray, spikes: np.ndarray) -> list[int]:
     head = next((c for c in sentence if c.isalpha()), "")
     up = "u" if head.isupper() else "m" if "က" <= head <= "႟" else "l" if head else "-"
     shape = f"{up}{min(len(tokens), 12)}{'i' if cut else ''}{'b' if BULLET.match(text) else ''}{'|' if '|' in text else ''}{':' if ':' in sentence else ''}"
-    spike = bool(spikes[min(size, LENGTHS - 1)]) or bool(t.marker and spikes[min(len(body), LENGTHS - 1)]) or bool(t.stop and spikes[min(len(inner), LENGTHS - 1)])
+    longest = len(spikes) - 1
+    spike = bool(spikes[min(size, longest)]) or bool(t.marker and spikes[min(len(body), longest)]) or bool(t.stop and spikes[min(len(inner), longest)])
     quotes = sum(sentence.count(c) for c in "“„«(") - sum(sentence.count(c) for c in "”»)") - ("“" in sentence and "„" in sentence)
     bucket = 0 if seen == 0 else 1 if seen < 3 else 2 if seen < 20 else 3
     found = (
@@ -291,20 +298,26 @@ def values(section_slots: DataFrame, slot_assignments: DataFrame) -> DataFrame:
     return a.unionByName(b).filter(F.col("text").rlike(r"\S"))
 
 
-def statistics(df: DataFrame) -> np.ndarray:
-    """Word and length counts of all values; 2 * WORDS + LENGTHS numbers come to the driver."""
+def statistics(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Word counts and frequent lengths of all values; 2 * WORDS numbers and one for each different length come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * WORDS + LENGTHS, np.int64)
+        total = np.zeros(2 * WORDS, np.int64)
+        lengths: Counter[int] = Counter()
         for b in batches:
-            total += np.concatenate([word_counts(b.column(0)), length_counts(b.column(0))])
+            total += word_counts(b.column(0))
+            for k, n in zip(*map(np.ndarray.tolist, length_counts(b.column(0)))):
+                lengths[k] += n
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
+        bins, n = [*at.tolist(), *(2 * WORDS + k for k in lengths)], [*total[at].tolist(), *lengths.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["bin", "n"])
 
-    got = df.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(2 * WORDS + LENGTHS, np.int64)
-    total[got["bin"].to_numpy()] = got["n"].to_numpy()
-    return total
+    got = df.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    at, n = got["bin"].to_numpy(), got["n"].to_numpy()
+    word = at < 2 * WORDS
+    total = np.zeros(2 * WORDS, np.int64)
+    total[at[word]] = n[word]
+    return total, limits(n[~word], at[~word] - 2 * WORDS)
 
 
 def training_values(df: DataFrame, n: int) -> list[str]:
@@ -331,9 +344,8 @@ def cut_off(spark: SparkSession, section_slots: DataFrame, slot_assignments: Dat
     """(tab, doc_id, slot_id, para_idx, text, score) of the values that were cut, each once."""
     all_values = values(section_slots, slot_assignments)
     n = all_values.count()
-    total = statistics(all_values)
-    spikes = limits(total[2 * WORDS :])
-    model = spark.sparkContext.broadcast(fit(training_values(all_values, n), total[: 2 * WORDS].astype(np.int32), spikes))
+    counts, spikes = statistics(all_values)
+    model = spark.sparkContext.broadcast(fit(training_values(all_values, n), counts.astype(np.int32), spikes))
     doubtful = score_values(all_values, model).filter(F.col("score") >= LOOK)
     # A document has at most some hundred values, so those of one document may stand in one row.
     by_doc = doubtful.groupBy("doc_id").agg(F.collect_set(F.struct("tab", "slot_id", "para_idx", "text", "score")).alias("vals"))
