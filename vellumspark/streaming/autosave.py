@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -24,8 +25,7 @@ def sessions_now(spark: SparkSession, sf_dir: str, gap: str = "60 minutes", late
     session of the events; the row's own session stays open and is never given. All files are read in one batch, so no
     event is late. Events without a time are in no session.
     """
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{root}/autosave_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/autosave_{uuid.uuid4().hex}"
     ntz = SCHEMA.replace("ts timestamp", "ts timestamp_ntz")
     ts = F.col("ts").cast("timestamp")
     end = spark.read.schema(ntz).parquet(f"{sf_dir}/events.parquet").agg(F.max(ts).alias("ts"))
