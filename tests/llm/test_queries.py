@@ -108,14 +108,6 @@ def test_p4_forms_are_of_every_text(spark, small):
     assert changed.items() <= form.items()
 
 
-def test_p7_looks_at_every_filler(spark, small, monkeypatch):
-    from vellumspark.llm import mixing
-
-    want = got(spark, "p7_mix", small)
-    monkeypatch.setattr(mixing, "FILLERS", 1)
-    assert got(spark, "p7_mix", small) == want
-
-
 def test_p5(spark, small):
     assert got(spark, "p5_found", small) == {("d0", 0), ("d3", None)}
     assert "p5_found" in ORACLE
@@ -131,6 +123,8 @@ def test_p7(spark, small):
     caps = {"a": 1, "b": 2, "c": 3}
     assert mixed and all(1 <= r.copies <= caps[r.source] for r in mixed) and not {r.doc_id for r in mixed} & {100, 101, 102}
     share = {r.source: r.share for r in QUERIES["p7_shares"](spark, small).collect()}
+    reached = {r.source: r.reached for r in QUERIES["p7_shares"](spark, small).collect()}
+    assert reached == {"a": True, "b": True, "c": True, "nowhere": False}
     assert share["nowhere"] == 0 and abs(share["a"] - 0.5 / 0.9) < 0.06 and abs(share["c"] - 0.1 / 0.9) < 0.06
 
 

@@ -215,3 +215,39 @@ def test_subject_models_on_held_out_documents():
 def test_rates_stay_within_caps():
     r = mixing.rates(np.array([5.0, 7.0]), np.array([0, 1]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([3.0, 0.1]), np.array([2.0, 1.0]), [(np.array([-1.0, 1.0]), np.zeros(2))])
     assert r.tolist() == [2.0, 0.0]
+
+
+def mixing_passes(soft, tokens, label, caps, wanted, weight):
+    """The descent over documents in one place: the rates, and the squared residual of the expected totals."""
+    there = np.bincount(label, tokens, len(caps))
+    start, descent = wanted / there, mixing.Descent(wanted, weight)
+    for _ in range(30):
+        r = mixing.rates(label, soft, start, caps, descent.history)
+        free = np.where((r > 0) & (r < caps[label]), tokens, 0)
+        cross = np.stack([np.bincount(label, free * soft[:, c], len(caps)) for c in range(len(caps))], 1)
+        descent.step((r * tokens) @ soft, np.bincount(label, r * tokens, len(caps)), np.bincount(label, free, len(caps)), cross, (soft * free[:, None]).T @ soft)
+    descent.history.pop()
+    r = mixing.rates(label, soft, start, caps, descent.history)
+    return r, float((((r * tokens) @ soft - wanted) ** 2).sum())
+
+
+def test_memberships_drive_the_rates():
+    rng = np.random.default_rng(1)
+    n, k = 600, 4
+    label = rng.integers(0, k, n)
+    soft = rng.dirichlet(np.full(k, 0.5), n) * 0.6
+    soft[np.arange(n), label] += 0.4
+    tokens, caps = rng.integers(20, 300, n).astype(float), np.array([1.0, 2.0, 3.0, 1.0])
+    wanted = np.array([0.5, 0.2, 0.2, 0.1]) * 0.4 * np.bincount(label, tokens, k).min() / 0.5
+    r, left = mixing_passes(soft, tokens, label, caps, wanted, 1.0)
+    even, off = mixing_passes(soft, tokens, label, caps, wanted, 0.0)
+    assert left < 0.05 * off and np.abs(r - even).max() > 0.05
+    assert np.allclose(np.bincount(label, r * tokens, k), wanted, rtol=0.01) and (r >= 0).all() and (r <= caps[label]).all()
+
+
+def test_memberships_are_calibrated_and_of_every_document():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(("tax", "levy", "return", "the", "of") if k % 2 else ("relay", "match", "team", "the", "of"), k=12)) for k in range(200)]
+    d = mixing.Domains(texts, np.arange(200) % 2, 2)
+    p = d.posteriors(pa.array(["tax levy the", "relay team of", "", None], pa.string()))
+    assert p[0, 1] > 0.9 and p[1, 0] > 0.9 and np.allclose(p.sum(1), 1) and np.allclose(p[2], p[3])
