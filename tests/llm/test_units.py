@@ -166,17 +166,29 @@ def test_truncation_classifier_on_held_out_cuts():
     ends = ["keeps the signed copy.", "reviews the plan every month.", "answers questions by noon on Friday."]
     texts = [f"{rng.choice(units)} {rng.choice(ends)} {rng.choice(units)} {rng.choice(ends)}" for _ in range(1500)] + ["Type: Policy", "the signed copy"] * 100
     words, spikes = truncation.word_counts(pa.array(texts)), np.zeros(truncation.LENGTHS, bool)
-    m = truncation.fit(texts, words, spikes)
-    cuts = truncation.cut_values(texts[:300], spikes, np.random.default_rng(9))
-    assert (m.score(cuts) > 0.5).mean() > 0.9 and (m.score(texts[:300]) < 0.5).mean() > 0.95
-    assert truncation.fit([], words, spikes).score(["x"])[0] == 0.5 and len(m.score([])) == 0
+    with_source = [(t, truncation.Source([t]) if k % 2 else truncation.NO_SOURCE, k % 5 == 0) for k, t in enumerate(texts)]
+    m = truncation.fit(with_source, words, spikes)
+    cuts = truncation.cut_values([x[:2] for x in with_source[:300]], spikes, np.random.default_rng(9))
+    whole = [truncation.value(*x[:2]) for x in with_source]
+    assert (m.score(cuts) >= 0.5).mean() > 0.9 and (m.score(whole) < 0.5).mean() > 0.99
+    assert truncation.fit([], words, spikes).score([("x", "x", "-")])[0] < 1e-6 and len(m.score([])) == 0
 
 
-def test_exact_check():
-    joined = "\x00The unit head keeps it. The team signs the plan.\x00the signed copy\x00"
-    check = lambda t, s: truncation.exact(t, s, joined, joined)
-    assert check("The unit head keeps it. The team si", 0.1) and check("The unit head keeps it. The te...", 0.1) and check("The unit head keeps it. The team.", 0.1)
-    assert not check("The unit head keeps it.", 0.6) and not check("the signed copy", 0.9) and check("Unknown text that", 0.6)
+def test_score_is_calibrated_to_the_share_of_cut_values():
+    m = truncation.Model(np.zeros(2 * truncation.WORDS), np.zeros(truncation.LENGTHS, bool))
+    rng = np.random.default_rng(4)
+    cut = rng.random(20_000) < 0.04
+    m.logits = lambda rows: rows  # the log odds of a fit on as many cut as whole values
+    odds = rng.normal(np.where(cut, 3.0, -3.0), np.sqrt(6.0))
+    m.calibrate(odds, 0.5)
+    p = 1 / (1 + np.exp(-(odds + m.shift)))
+    assert abs(p.mean() - cut.mean()) < 0.005 and 0.4 < cut[(p > 0.4) & (p < 0.6)].mean() < 0.6
+
+
+def test_place_in_the_source():
+    source = truncation.Source(["The unit head keeps it. The team signs the plan.", None, "", "the signed copy", "one\ttwo  three goes on"])
+    place = {t: source.place(t) for t in ("The unit head keeps it.", "The unit head keeps it. The te...", "The team si", "The team.", "the signed copy", "Unknown text that", "• the signed copy", "first\nThe team signs the", "one two three")}
+    assert list(place.values()) == ["s0", "i0", "i0", "i0", "p0", "-", "p0", "i1", "i2"] and truncation.NO_SOURCE.place("x") == "-"
 
 
 def test_limits_are_lengths_with_many_values():
@@ -187,10 +199,10 @@ def test_limits_are_lengths_with_many_values():
 
 def test_limits_of_any_length_and_in_small_tables(spark):
     texts = ["ab " * (10 + 7 * k) + "x" for k in range(60)] + ["y" * 32_767] * 9 + ["z" * 10_000] * 6
-    _, spikes = truncation.statistics(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert np.flatnonzero(spikes).tolist() == [10_000, 32_767]
+    n, _, spikes = truncation.statistics(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert n == len(texts) and np.flatnonzero(spikes).tolist() == [10_000, 32_767]
     words = np.zeros(2 * truncation.WORDS, np.int32)
-    assert truncation.features("y" * 32_767, words, spikes) != truncation.features("y" * 32_767, words, np.zeros_like(spikes))
+    assert truncation.features(*["y" * 32_767] * 2, "-", words, spikes) != truncation.features(*["y" * 32_767] * 2, "-", words, np.zeros_like(spikes))
     assert truncation.limits(np.zeros(0, int)).sum() == 0
 
 
@@ -251,3 +263,19 @@ def test_memberships_are_calibrated_and_of_every_document():
     d = mixing.Domains(texts, np.arange(200) % 2, 2)
     p = d.posteriors(pa.array(["tax levy the", "relay team of", "", None], pa.string()))
     assert p[0, 1] > 0.9 and p[1, 0] > 0.9 and np.allclose(p.sum(1), 1) and np.allclose(p[2], p[3])
+
+
+def test_hot_documents_are_split_and_give_the_same_scores(spark, monkeypatch):
+    vals = spark.createDataFrame([("section_slots", d, 1, k, f"The unit head keeps copy {k}") for d in ("hot", "cold", None) for k in range(60)], "tab string, doc_id string, slot_id int, para_idx int, text string")
+    cleaned = spark.createDataFrame([(d, [f"The unit head keeps copy {k} of it." for k in range(60)]) for d in ("hot", "hot", "hot", "cold", None)] + [("hot", None)], "doc_id string, paragraphs array<string>")
+
+    class Places:
+        value = type("M", (), {"score": lambda self, vs: np.array([v[2] == "i0" for v in vs], float)})()
+
+    want = {("hot", k, 1.0) for k in range(60)} | {("cold", k, 1.0) for k in range(60)} | {(None, k, 0.0) for k in range(60)}
+    for hot, deliveries in ((20_000, 1000), (10, 1000), (10, 2)):
+        monkeypatch.setattr(truncation, "HOT_VALUES", hot)
+        monkeypatch.setattr(truncation, "HOT_DELIVERIES", deliveries)
+        rows = truncation.by_document(spark, vals, cleaned)
+        assert rows.filter("kind = 1").count() == 180 and rows.select("doc_id", "salt").filter("doc_id = 'hot'").distinct().count() == (1 if hot > 60 else 6)
+        assert {(r.doc_id, r.para_idx, r.score) for r in truncation.score_values(rows, Places).collect()} == want
