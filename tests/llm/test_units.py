@@ -74,13 +74,13 @@ def repairer():
 def test_misread_utf8_is_restored(repairer, page, text):
     back = {128 + k: c for k, c in enumerate(encoding.code_page(page))}
     bad = "".join(chr(b) if b < 128 else back[b] for b in text.encode())
-    assert repairer.text(bad) == (text, True)
+    assert repairer.text(bad) == (text, True, None)
 
 
 def test_swapped_double_and_lost(repairer):
-    assert repairer.text("Ausnahmen benˆtigen eine") == ("Ausnahmen benötigen eine", True)
+    assert repairer.text("Ausnahmen benˆtigen eine") == ("Ausnahmen benötigen eine", True, None)
     twice = "qualité".encode().decode("cp1252").encode().decode("cp1252")
-    assert repairer.text(twice) == ("qualité", True)
+    assert repairer.text(twice) == ("qualité", True, None)
     assert repairer.text("qualit�")[1] and not repairer.text("“Заря” ½ café")[1] and not repairer.text("")[1]
 
 
@@ -88,13 +88,13 @@ def test_entities_and_escapes(repairer):
     right = "l’équipe qualité"
     coded = lambda f: "".join(c if c.isascii() else f(c) for c in right)
     for f in ("&#{};".format, "&#x{:x};".format, "&amp;#{};".format, "\\u{:04x}".format):
-        assert repairer.text(coded(lambda c: f(ord(c)))) == (right, True)
-    assert repairer.text("qualit&eacute;") == repairer.text("qualit\\xe9") == repairer.text("qualit&amp;eacute;") == ("qualité", True)
-    assert repairer.text("qualit&Atilde;&copy;") == repairer.text("qualit\\xc3\\xa9") == repairer.text("qualitÃ&copy;") == ("qualité", True)
+        assert repairer.text(coded(lambda c: f(ord(c)))) == (right, True, None)
+    assert repairer.text("qualit&eacute;") == repairer.text("qualit\\xe9") == repairer.text("qualit&amp;eacute;") == ("qualité", True, None)
+    assert repairer.text("qualit&Atilde;&copy;") == repairer.text("qualit\\xc3\\xa9") == repairer.text("qualitÃ&copy;") == ("qualité", True, None)
     assert repairer.text("quality &eacute; &ndash; &oacute;")[0] == "quality é – ó"
-    assert repairer.text("échantillon qualitÃ© l&rsquo;eau us&eacute;e") == ("échantillon qualité l’eau usée", True)
+    assert repairer.text("échantillon qualitÃ© l&rsquo;eau us&eacute;e") == ("échantillon qualité l’eau usée", True, None)
     for same in ("R&amp;D &lt;b&gt; &unknown; &notit; \\x41 \\u0041", r"C:\xact\file", "a & b; c", "qualité R&D"):
-        assert repairer.text(same) == (same, False)
+        assert repairer.text(same) == (same, False, None)
 
 
 def test_search_ends_only_when_no_state_is_open(repairer):
@@ -102,16 +102,17 @@ def test_search_ends_only_when_no_state_is_open(repairer):
     for page in ("cp1252", "latin-1", "cp1252", "latin-1"):
         bad = "".join(chr(b) if b < 128 else encoding.code_page(page)[b - 128] for b in bad.encode())
     own = encoding.Repairer(repairer.table)
-    assert own.search("", bad, "")[0] == own.search("ab", bad, "c")[0] == "é" and len(own.reachable(bad)) > 40
+    assert own.search("", bad, "")[0] == own.search("ab", bad, "c")[0] == "é" and len(own.reachable(bad, lambda t, _: own.cost(t))) > 40
     reached, open_ones = {(bad, False)}, [(bad, False)]
     while open_ones:
         text, swapped = open_ones.pop()
         new = {(op(text), swapped or swaps) for op, swaps in encoding.OPERATIONS if not (swaps and swapped)} - reached
         reached |= new
         open_ones += new
-    assert set(own.reachable(bad)) == {t for t, _ in reached}
+    for slack in (0.0, 1e9):  # the bound on costs leaves out no text
+        assert set(own.reachable(bad, own.sum, slack)) == {t for t, _ in reached}
     for before, after in (("", ""), ("a", ""), ("ab", "c"), ("", "cd")):
-        costs = {t: own.cost(t) + encoding.STEP for t in own.reachable(before + bad + after)}
+        costs = {t: own.cost(t) + encoding.STEP for t in own.reachable(before + bad + after, lambda t, _: 0.0)}
         start = own.cost(before + bad + after)
         assert abs(own.search(before, bad, after)[1] - (start - min(costs.values()))) < 1e-3
     for t in ("é", "l’é – ½", "", "abc", "မူé"):
@@ -225,7 +226,7 @@ def test_subject_models_on_held_out_documents():
 
 
 def test_rates_stay_within_caps():
-    r = mixing.rates(np.array([5.0, 7.0]), np.array([0, 1]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([3.0, 0.1]), np.array([2.0, 1.0]), [(np.array([-1.0, 1.0]), np.zeros(2))])
+    r = mixing.rates(np.array([0, 1]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([3.0, 0.1]), np.array([2.0, 1.0]), [(np.array([-1.0, 1.0]), np.zeros(2))])
     assert r.tolist() == [2.0, 0.0]
 
 

@@ -2,9 +2,11 @@
 
 A unit (a run of characters outside ASCII and of entities and escapes of such, with the two characters before and after it) is repaired by a search over operations: misread UTF-8 under a code page is
 decoded again, text of one single-byte code page that was read as another is mapped back, a no-break space that was
-stored as a plain space is put back, and entities and escapes are resolved. States are hashed and visited, until no state is
+stored as a plain space is put back, and entities and escapes are resolved. The search is best-first: of the open states the cheapest is
+visited next, and visited states are hashed. It goes on until no state is
 open: all operations but the mapping, of which a way has one, shorten the text or can't follow themselves, so the states of a unit are
-finite (at most 7,740 in the test tables) and the result is the cheapest of all. The cost of a text is the implausibility of its characters: the sum, over the
+finite (at most 7,740 in the test tables) and the result is the cheapest of all. The cost of a state is only added up as far as it can
+still win, whatever stands around the run. The cost of a text is the implausibility of its characters: the sum, over the
 windows of three characters with at least one outside ASCII, of the negative log share of that window among all such windows of
 the corpus; a window that the corpus lacks counts twice. An entity or escape of a character outside ASCII costs as much as a character
 that the corpus lacks; those of ASCII characters are markup or code and no sign of a wrong encoding. The window counts are taken over all paragraphs, in a hashed table of fixed
@@ -17,8 +19,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import deque
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 from html.entities import html5
 
 import numpy as np
@@ -123,6 +127,8 @@ RUN = re.compile(f"{OUTSIDE}+(?:[!-~]{OUTSIDE}+)*")
 ESCAPE = re.compile(r"&(?:amp;)*(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]\w{1,30});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
 #: The same runs in texts with a & or backslash, where entities and escapes belong to them.
 RUN_ESCAPED = re.compile(f"(?:{OUTSIDE}|{ESCAPE.pattern})+(?:[!-~](?:{OUTSIDE}|{ESCAPE.pattern})+)*")
+#: Characters that no operation changes.
+INERT = re.compile("[\x00-\x7fက-႟]*\\Z")
 BEFORE, AFTER = re.compile(r"\S{0,2}\Z"), re.compile(r"\S{0,2}")
 
 
@@ -144,6 +150,7 @@ class Repairer:
     def __init__(self, cost: np.ndarray):
         self.table = cost
         self.escaped = 3 * float(cost.max())
+        self.around = 4 * float(cost.max()) + STEP  # what the windows at the ends of a run can make up for
         self.known: dict[str, str | None] = {}
         self.by_window: dict[str, float] = {}
         self.runs: dict[tuple[str, bool], list[tuple[str, str, str, float]]] = {}
@@ -152,8 +159,8 @@ class Repairer:
     def cost(self, token: str) -> float:
         return self.sum(f" {token} ") + self.escaped * hidden(token)
 
-    def sum(self, text: str) -> float:
-        """The cost of the windows of a text with what stands around it."""
+    def sum(self, text: str, limit: float = np.inf) -> float:
+        """The cost of the windows of a text with what stands around it; infinite as soon as it is above the limit."""
         total = 0.0
         for k in range(len(text) - 2):
             w = text[k : k + 3]
@@ -163,50 +170,66 @@ class Repairer:
                     self.by_window.clear()
                 c = self.by_window[w] = 0.0 if w.isascii() else float(self.table[window(w)])
             total += c
+            if total > limit:
+                return np.inf
         return total
 
-    def reachable(self, text: str) -> dict[str, bool]:
-        """All texts that operations lead to, those of fewer steps first, and whether a mapping is on every way to each."""
+    def reachable(self, text: str, cost: Callable[[str, float], float], slack: float = 0.0) -> dict[str, tuple[float, int]]:
+        """All texts that operations lead to, with their cost, or infinity if that is more than ``slack`` above another's, and their least number of steps.
+
+        cost: of a text, up to a limit.
+        """
+        least = cost(text, np.inf)
         seen = {text: False}
-        queue = deque([(text, False)])
-        while queue:
-            old, swapped = queue.popleft()
+        found = {text: (least, 0)}
+        heap = [(least, 0, 0, text, False)]
+        number = 0
+        while heap:
+            _, steps, _, old, swapped = heappop(heap)
             if swapped and not seen[old]:
                 continue
             for op, swaps in OPERATIONS:
                 if swaps and swapped:
                     continue
                 new, now = op(old), swapped or swaps
-                if new not in seen or seen[new] and not now:
-                    seen[new] = now
-                    queue.append((new, now))
-        return seen
+                if new not in seen:
+                    found[new] = (cost(new, least + slack), steps + 1)
+                    least = min(least, found[new][0])
+                elif not seen[new] or now:
+                    if found[new][1] > steps + 1:
+                        found[new] = (found[new][0], steps + 1)
+                    continue
+                seen[new] = now
+                number += 1
+                heappush(heap, (found[new][0], steps + 1, number, new, now))
+        return found
 
     def inner(self, run: str, ends: bool) -> list[tuple[str, str, str, float]]:
-        """Of a run between ASCII characters, each text reachable with its two first and two last characters and the cost of
-        the windows within it. A run that doesn't end its unit is searched with a character after it."""
+        """Of a run between inert characters, each text reachable that can win with its two first and two last characters and the cost of
+        the windows within it, those of fewer steps first. A run that doesn't end its unit is searched with a character after it."""
         key = (run, ends)
         if key not in self.runs:
             if self.n_runs >= CACHE_UNITS:
                 self.runs.clear()
                 self.n_runs = 0
-            texts = self.reachable(run) if ends else [t[:-1] for t in self.reachable(run + "x")]
-            self.runs[key] = [(t, t[:2], t[-2:], self.sum(t)) for t in texts]
+            cut = None if ends else -1
+            found = self.reachable(run if ends else run + "x", lambda t, limit: self.sum(t[:cut], limit), self.around)
+            least = min(c for c, _ in found.values())
+            texts = sorted((steps, number, t[:cut], c) for number, (t, (c, steps)) in enumerate(found.items()) if c <= least + self.around or number == 0)
+            self.runs[key] = [(t, t[:2], t[-2:], c) for _, _, t, c in texts]
             self.n_runs += len(texts)
         return self.runs[key]
 
     def search(self, before: str, run: str, after: str) -> tuple[str, float]:
         """The cheapest text of the run and what it saves; of equal ones the one of fewest steps."""
-        start = self.cost(before + run + after)
-        best, least = run, start
         around = before + run + after
-        if (before + after).isascii() and "&" not in around and "\\" not in around:
+        best = run
+        if INERT.match(before + after) and "&" not in around and "\\" not in around:
             left, right = f" {before}"[-2:], f"{after} "[:2]
             heads: dict[str, float] = {}
             tails: dict[str, float] = {}
+            start = least = None
             for text, head, tail, within in self.inner(run, not after):
-                if text == run:
-                    continue
                 if len(text) < 2:
                     total = self.sum(left + text + right)
                 else:
@@ -215,11 +238,14 @@ class Repairer:
                     if tail not in tails:
                         tails[tail] = self.sum(tail + right)
                     total = heads[head] + within + tails[tail]
-                if total + STEP < least - 1e-9:
+                if start is None:  # the run itself has no steps
+                    start = least = total
+                elif total + STEP < least - 1e-9:
                     best, least = text, total + STEP
         else:
-            for text in self.reachable(around):
-                total = self.cost(text) + STEP * (text != around)
+            start = least = self.cost(around)
+            for text, (cost, steps) in sorted(self.reachable(around, lambda t, _: self.cost(t)).items(), key=lambda x: x[1][1]):
+                total = cost + STEP * (steps > 0)
                 if total < least - 1e-9:
                     best, least = text[len(before) : len(text) - len(after)], total
         return best, start - least
@@ -234,20 +260,43 @@ class Repairer:
             self.known[key] = best if gain >= MIN_GAIN else run if LOST in run else None
         return self.known[key]
 
-    def text(self, text: str) -> tuple[str, bool]:
-        """The repaired text and whether any unit of it is garbled."""
+    def text(self, text: str, hard: int | None = None) -> tuple[str, bool, str | None]:
+        """The repaired text, whether any unit of it is garbled, and None; or, with ``hard``, the text as it is, False and its first run of so many characters if it has one."""
         if text.isascii() and "&" not in text and "\\" not in text:
-            return text, False
+            return text, False, None
         out: list[str] = []
         done = 0
         for m in (RUN_ESCAPED if "&" in text or "\\" in text else RUN).finditer(text):
             a, b = m.span()
+            if hard and b - a >= hard:
+                return text, False, m[0]
             before, after = BEFORE.search(text[max(0, a - 2) : a])[0], AFTER.match(text, b)[0]
             new = self.unit(before, m[0], after)
             if new is not None:
                 out += text[done:a], new
                 done = b
-        return ("".join(out) + text[done:], True) if out else (text, False)
+        return ("".join(out) + text[done:], True, None) if out else (text, False, None)
+
+
+def _readings() -> tuple[list[Misread], re.Pattern]:
+    ops = [op for op, _ in OPERATIONS if isinstance(op, Misread)]
+    return ops, re.compile("(?:" + "|".join(dict.fromkeys(op.sequence.pattern for op in ops)) + ")")
+
+
+#: The readings of UTF-8, and a misread sequence in any of the code pages; texts without one are left as they are.
+READINGS, SUSPECT = _readings()
+
+
+def readable(text: str) -> str:
+    """The text with misread UTF-8 decoded as far as it gets shorter, so that its words and stops can be seen; no search and no counts are needed."""
+    for _ in range(3):
+        if text.isascii() or not SUSPECT.search(text):
+            return text
+        best = min((op(text) for op in READINGS if op.sequence.search(text)), key=len, default=text)
+        if len(best) >= len(text):
+            return text
+        text = best
+    return text
 
 
 _last: Repairer | None = None
@@ -298,36 +347,64 @@ def window_costs(spark: SparkSession, *columns: DataFrame) -> np.ndarray:
     return costs(n)
 
 
-FOUND = "doc_id string, para_idx int, text string, repaired string"
+#: Length of a run from which its search takes long, so that equal ones are brought together, and how many of one task stay together.
+HARD, TOGETHER = 24, 1000
+FOUND = "tab string, doc_id string, para_idx int, text string, repaired string, hard string, salt int"
 
 
-def garbled_paragraphs(docs: DataFrame, cost) -> DataFrame:
-    """(doc_id, para_idx, text, repaired) of the garbled paragraphs of (doc_id, paragraphs); cost: a broadcast table.
+def garbled_paragraphs(docs: DataFrame, tab: str, cost) -> DataFrame:
+    """The garbled paragraphs of (doc_id, paragraphs) with their repaired text, and those with a long run unrepaired with that run in ``hard``; cost: a broadcast table.
 
-    ``repaired`` is the cheapest text; characters that were lost stay U+FFFD. Null paragraphs and lists give no row.
+    Null paragraphs and lists give no row. ``salt`` spreads the rows: by their key, and the many of one long run in groups of TOGETHER of each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = repairer(cost.value)
+        met: Counter[str] = Counter()
         for b in batches:
             out: list[tuple] = []
             for doc, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, text in enumerate(texts or ()):
                     if text:
-                        new, bad = r.text(text)
-                        if bad:
-                            out.append((doc, k, text, new))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], names=["doc_id", "para_idx", "text", "repaired"])
+                        new, bad, hard = r.text(text, HARD)
+                        if hard is not None:
+                            out.append((tab, doc, k, text, None, hard, met[hard] // TOGETHER))
+                            met[hard] += 1
+                        elif bad:
+                            out.append((tab, doc, k, text, new, None, zlib.crc32(f"{doc} {k}".encode("utf-8", "surrogatepass")) >> 4))
+            if len(met) > CACHE_UNITS:
+                met.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [()] * 7, FOUND_TYPES)], names=FOUND_NAMES)
 
     return docs.select("doc_id", "paragraphs").mapInArrow(run, FOUND)
 
 
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+FOUND_TYPES = [pa.int32() if x.endswith("int") else pa.string() for x in FOUND.split(", ")]
+
+
 def find_garbled(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """The garbled paragraphs of several tables (doc_id, paragraphs), each once: tab, doc_id, para_idx, text, repaired."""
+    """The garbled paragraphs of several tables (doc_id, paragraphs), each once: tab, doc_id, para_idx, text, repaired.
+
+    ``repaired`` is the cheapest text; characters that were lost stay U+FFFD. Of repeated deliveries one counts.
+    """
     cost = spark.sparkContext.broadcast(window_costs(spark, *(t.select("paragraphs") for t in tables.values())))
     out = None
     for name, table in tables.items():
-        part = garbled_paragraphs(table, cost).withColumn("tab", F.lit(name))
+        part = garbled_paragraphs(table, name, cost)
         out = part if out is None else out.unionByName(part)
-    return out.select("tab", "doc_id", "para_idx", "text", "repaired").dropDuplicates(["tab", "doc_id", "para_idx"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = repairer(cost.value)
+        for b in batches:
+            repaired, keep = [], []
+            for text, new, hard in zip(*(b.column(k).to_pylist() for k in (3, 4, 5))):
+                bad = True
+                if hard is not None:
+                    new, bad, _ = r.text(text)
+                repaired.append(new)
+                keep.append(bad)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(repaired, pa.string())], names=FOUND_NAMES[:5]).filter(pa.array(keep, pa.bool_()))
+
+    together = out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hard", "salt")
+    return together.mapInArrow(finish, ", ".join(FOUND.split(", ")[:5])).dropDuplicates(["tab", "doc_id", "para_idx"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import repairer, window_costs
+from .encoding import readable
 from .lookalike import form
 
 LANGUAGES = ("en", "my", "fr", "de", "es", "pt", "nl")
@@ -238,18 +238,18 @@ def training_rows(docs: DataFrame) -> list[tuple[str, list[str]]]:
 SEGMENTS = "doc_id string, label string, main string, main_confidence double, para_idx int, lang string, confidence double, n_chars int, whole boolean"
 
 
-def segments(docs: DataFrame, model, cost) -> DataFrame:
+def segments(docs: DataFrame, model) -> DataFrame:
     """Runs of sentences of one language in each paragraph, with the language of the document.
 
     ``main`` is the language with the most text of the document (by letters of words; of equal ones the first of LANGUAGES), null
     if no text has one, ``main_confidence`` the mean over that text. ``lang`` is null for runs without a language, ``whole`` says whether a run
     holds a whole sentence. A document without words gives one row with a null para_idx. All of a document is in its row, so
-    nothing is shuffled. model, cost: broadcast. Texts garbled by a wrong encoding or made of look-alike characters are read as
+    nothing is shuffled. model: broadcast. Texts of misread UTF-8 or of look-alike characters are read as
     they were meant.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repair, net = repairer(cost.value), model.value
+        net = model.value
         known: dict[str, tuple[int, float, int, bool]] = {}  # repeated sentences, as of headings and standing phrases, are read once
         for b in batches:
             where, order, fresh = [], [], {}
@@ -258,7 +258,7 @@ def segments(docs: DataFrame, model, cost) -> DataFrame:
             for k, paragraphs in enumerate(b.column(2).to_pylist()):
                 for i, p in enumerate(paragraphs or ()):
                     if p:
-                        for s in sentences(form(repair.text(p)[0])):
+                        for s in sentences(form(readable(p))):
                             where.append((k, i))
                             order.append(s)
                             if s not in known and s not in fresh:
@@ -305,11 +305,10 @@ def label_column(label: str):
     return F.coalesce(*[F.when(main.isin(names.split()), c) for c, names in NAMES.items()])
 
 
-def detect(spark: SparkSession, docs: DataFrame, cleaned: DataFrame) -> DataFrame:
+def detect(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The segments of all documents, by a model fitted on the labelled ones."""
-    cost = spark.sparkContext.broadcast(window_costs(spark, docs.select("paragraphs"), cleaned.select("paragraphs")))
     model = spark.sparkContext.broadcast(fit(training_rows(docs)))
-    return segments(docs, model, cost)
+    return segments(docs, model)
 
 
 def wrong_labels(found: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(spark, read_table(spark, sf_dir, "extracted_documents", "doc_id", "lang", "paragraphs"), read_table(spark, sf_dir, "cleaned_documents", "paragraphs"))
+    return detect(spark, read_table(spark, sf_dir, "extracted_documents", "doc_id", "lang", "paragraphs"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

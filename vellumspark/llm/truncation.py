@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import MISREAD, Misread
+from .encoding import readable
 
 FEATURES = 1 << 18
 WORDS = 1 << 18
@@ -53,21 +53,6 @@ BULLET = re.compile(r"^\s*[•◦▪●*\-–]\s+")
 
 
 LABEL = re.compile(r"[^.!?။\n]{2,30}:\s")
-READINGS = [Misread(n) for n in MISREAD]
-#: Two characters that begin a misread sequence in any of the code pages; texts without them are left as they are.
-SUSPECT = re.compile("(?:" + "|".join(dict.fromkeys(op.sequence.pattern for op in READINGS)) + ")")
-
-
-def readable(text: str) -> str:
-    """The text with misread UTF-8 decoded, so that its words and stops can be seen."""
-    for _ in range(3):
-        if text.isascii() or not SUSPECT.search(text):
-            return text
-        best = min((op(text) for op in READINGS if op.sequence.search(text)), key=len, default=text)
-        if len(best) >= len(text):
-            return text
-        text = best
-    return text
 
 
 def bin_of(word: str) -> int:
