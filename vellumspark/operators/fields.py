@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.dictionaries import LABELS, TYPE_WORDS, label_rows, split
+from ..functions.dictionaries import LABELS, TYPE_WORDS, label_rows
 
 MISSING = "[Missing]"
 
@@ -27,16 +27,18 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
 def canonical(spark: SparkSession, labelled: DataFrame) -> DataFrame:
     """Labelled lines with their canonical ``label``: that of the same spelling, else of the longest spelling of at least four letters that begins it, else null.
 
-    The prefix case is an equi-join too: each raw label is joined at every prefix length that the dictionary has.
+    The prefix case looks up each prefix length that the dictionary has, longest first.
     """
     dim = label_table(spark)
     keyed = labelled.withColumn("norm", T.label_key(F.col("raw_label")))
-    raw = keyed.select("norm").distinct().filter("norm <> ''")
-    prefixes = raw.select("norm", F.explode(F.sequence(F.lit(4), F.greatest(F.length("norm"), F.lit(4)))).alias("n")).select("norm", F.left("norm", F.col("n")).alias("prefix"))
-    exact = dim.select(F.col("norm"), F.col("label").alias("exact"))
-    longest = prefixes.join(dim.select(F.col("norm").alias("prefix"), "label"), "prefix").groupBy("norm").agg(F.max_by("label", F.length("prefix")).alias("by_prefix"))
-    found = raw.join(exact, "norm", "left").join(longest, "norm", "left").select("norm", F.coalesce("exact", "by_prefix").alias("label"))
-    return keyed.join(found, "norm", "left").select("doc_id", "line_idx", "raw_label", "label", "value")
+    # The dictionary has a fixed number of spellings, so it is looked up as one literal map in each row: no shuffle, no hot key.
+    known = {r.norm: r.label for r in dim.collect()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    sizes = sorted({len(k) for k in known if len(k) >= 4}, reverse=True)
+    at = lambda k: F.try_element_at(table, k)
+    by_prefix = F.coalesce(*[F.when(F.length("norm") >= n, at(F.left("norm", F.lit(n)))) for n in sizes])
+    label = F.when(F.col("norm") != "", F.coalesce(at(F.col("norm")), by_prefix))
+    return keyed.select("doc_id", "line_idx", "raw_label", label.alias("label"), "value")
 
 
 def field_values(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def shape(c: Column) -> Column:
 def type_word(c: Column) -> Column:
     """The longest of the last three, two or one words that names a type of document."""
     words = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^a-z\- ]+", " ")), r"\s+")
-    known = split(TYPE_WORDS)
+    known = list(TYPE_WORDS)
     last = lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " "))
     return F.coalesce(*[F.when(last(n).isin(known), last(n)) for n in (3, 2, 1)])
 

@@ -17,7 +17,8 @@ def latest(docs: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_idx, text) of the last delivery of each document. Null and empty lists give no line, null lines are kept."""
-    return latest(docs.select("doc_id", "run_id", "extracted_at", "paragraphs"), ["doc_id"], "extracted_at", "run_id").select("doc_id", F.posexplode("paragraphs").alias("line_idx", "text"))
+    newest = F.max_by("paragraphs", F.struct(F.col("extracted_at").isNotNull(), "extracted_at", F.col("run_id").isNotNull(), "run_id")).alias("paragraphs")
+    return docs.groupBy("doc_id").agg(newest).select("doc_id", F.posexplode("paragraphs").alias("line_idx", "text"))
 
 
 def is_proper_name(c: Column) -> Column:

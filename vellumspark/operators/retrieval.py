@@ -67,15 +67,23 @@ def grams(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(F.concat(t, pairs)).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, weight): (1 + ln tf) (ln((1+N)/(1+df)) + 1), each text scaled to length 1; terms of more than 95 % of the texts are left out."""
+def tfidf(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, weight): (1 + ln tf) (ln((1+N)/(1+df)) + 1), each text scaled to length 1; terms of more than 95 % of the texts are left out.
+
+    only: terms, of which alone the weights are given. Terms that stand in one text, most of all, are counted without a join: those of at least two are
+    few enough for Spark to join by size. The length of a text is a window over the partitioning by key, in which the grams are grouped.
+    """
     g = grams(docs, key, text)
-    df = g.groupBy("term").agg(F.count("*").alias("df"))
+    df = g.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1")
     one = docs.filter(F.col(text).isNotNull()).agg(F.count("*").alias("n_docs"))
-    w = g.join(df, "term").crossJoin(F.broadcast(one)).filter("df <= 0.95 * n_docs")  # one row
+    w = g.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(1))).crossJoin(F.broadcast(one)).filter("df <= 0.95 * n_docs")  # one row
     w = w.withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return w.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    if only is not None:
+        hit = w.join(only.select("term", F.lit(True).alias("wanted")), "term", "left")
+        norm = hit.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw"))).alias("terms"))
+        return norm.select("key", "norm", F.explode("terms").alias("x")).select("key", "x.term", (F.col("x.raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("key")))
+    return w.select("key", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def cosine_neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -91,9 +99,11 @@ def cosine_neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFr
     queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     n = vectors.count()
     n_blocks, n_salts = -(-n // (every * 1000)) or 1, -(-n // 20000) or 1
+    # Query blocks are copied to the groups of vectors, of which there are a fiftieth as many rows, and no vector is.
     blocks = queries.groupBy(F.pmod(F.hash("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    salted = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(n_salts)).alias("salt"))
-    parts = salted.groupBy("block", "salt").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vecs")).join(blocks, "block")
+    blocks = blocks.select("queries", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_salts - 1).cast("bigint"))).alias("salt"))
+    groups = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_salts)).alias("salt")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vecs"))
+    parts = groups.join(blocks, "salt")
 
     def best(frames):
         for f in frames:
@@ -119,7 +129,7 @@ def fusion(spark: SparkSession, docs: DataFrame, key: str, alpha: float = 0.7, k
     lexical = lexical.select("query_id", "key", (F.col("score") / F.coalesce(F.nullif(F.max("score").over(Window.partitionBy("query_id")), F.lit(0.0)), F.lit(1.0)) * (1 - alpha)).alias("part"))
     qt = q.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     qn = qt.groupBy("query_id").agg(F.sqrt(F.sum((1 + F.log("qf")) * (1 + F.log("qf")))).alias("qnorm"))
-    cosine = tfidf(docs, key, text).join(qt, "term").join(qn, "query_id").groupBy("query_id", "key").agg(F.sum(F.col("weight") * (1 + F.log("qf")) / F.col("qnorm")).alias("score"))
+    cosine = tfidf(docs, key, text, qt.select("term").distinct()).join(qt, "term").join(qn, "query_id").groupBy("query_id", "key").agg(F.sum(F.col("weight") * (1 + F.log("qf")) / F.col("qnorm")).alias("score"))
     dense = top_k(cosine.withColumn("score", F.round("score", 6)), k, "query_id", F.col("score"), "key").select("query_id", "key", (F.col("score") * alpha).alias("part"))
     total = lexical.unionByName(dense).join(q.select("query_id", "slot_id"), "query_id").groupBy("slot_id", "key").agg(F.round(F.sum("part"), 4).alias("score"))
     return top_k(total, 5, "slot_id", F.col("score"), "key")

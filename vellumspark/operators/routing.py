@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.dictionaries import GENERIC_SIGNALS, TABLE_SIGNALS, heading_rows, split
+from ..functions.dictionaries import GENERIC_SIGNALS, TABLE_SIGNALS, heading_rows
 
 
 def heading_table(spark: SparkSession) -> DataFrame:
@@ -19,17 +19,22 @@ def heading_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(T.strip(c)), r"^(\d+[.)]\s*|[ivx]+\.\s+)", ""), r"\s*[:.\-–]*\s*$", "")
 
 
+def heading_of() -> Column:
+    """What a line would be as a heading: what stands before a colon and a text, else the whole line."""
+    before = F.regexp_extract(F.lower(T.strip(F.col("text"))), r"^(?:\d+[.)]\s*|[ivx]+\.\s+)?([^:]{3,60}):\s+\S", 1)
+    return F.coalesce(F.nullif(before, F.lit("")), heading_key(F.col("text")))
+
+
 def headings(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(doc_id, line_idx, slot_id, heading) of lines that are a known heading, bare or with a text after a colon; an equi-join on the heading."""
-    key = F.coalesce(F.nullif(F.regexp_extract(F.lower(T.strip(F.col("text"))), r"^(?:\d+[.)]\s*|[ivx]+\.\s+)?([^:]{3,60}):\s+\S", 1), F.lit("")), heading_key(F.col("text")))
-    return lines.select("doc_id", "line_idx", key.alias("heading")).filter("length(heading) between 3 and 80").join(heading_table(spark), "heading").select("doc_id", "line_idx", "slot_id", "heading")
+    return lines.select("doc_id", "line_idx", heading_of().alias("heading")).filter("length(heading) between 3 and 80").join(heading_table(spark), "heading").select("doc_id", "line_idx", "slot_id", "heading")
 
 
 def section_index(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(doc_id, line_idx, slot_id): each line's section, which is that of the last heading before it; lines before the first have none."""
-    found = headings(spark, lines)
     w = Window.partitionBy("doc_id").orderBy("line_idx")
-    return lines.select("doc_id", "line_idx").join(found.select("doc_id", "line_idx", "slot_id"), ["doc_id", "line_idx"], "left").withColumn("slot_id", F.last("slot_id", True).over(w))
+    own = lines.select("doc_id", "line_idx", F.when(F.length(heading_of()).between(3, 80), heading_of()).alias("heading")).join(heading_table(spark), "heading", "left")
+    return own.select("doc_id", "line_idx", F.last("slot_id", True).over(w).alias("slot_id"))
 
 
 def section_spans(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -83,8 +88,8 @@ def table_rows(slots: DataFrame) -> DataFrame:
 def table_class(tables: DataFrame) -> DataFrame:
     """(doc_id, slot_id, table_idx, class, hits): the section with the most different signals in a table's cells, 0 on a tie or without, -1 for general tables."""
     text = flat_cells(F.col("cells"))
-    hits = {slot: sum((F.when(text.contains(k), 1).otherwise(0) for k in split(words)), F.lit(0)) for slot, words in TABLE_SIGNALS.items()}
-    general = sum((F.when(text.contains(k), 1).otherwise(0) for k in split(GENERIC_SIGNALS)), F.lit(0))
+    hits = {slot: sum((F.when(text.contains(k), 1).otherwise(0) for k in words), F.lit(0)) for slot, words in TABLE_SIGNALS.items()}
+    general = sum((F.when(text.contains(k), 1).otherwise(0) for k in GENERIC_SIGNALS), F.lit(0))
     out = tables.select("doc_id", "slot_id", "table_idx", general.alias("g"), *[h.alias(f"h{s}") for s, h in hits.items()])
     top = F.greatest(*[F.col(f"h{s}") for s in hits])
     ties = sum((F.when(F.col(f"h{s}") == top, 1).otherwise(0) for s in hits), F.lit(0))

@@ -64,12 +64,14 @@ def clean_drop_reasons(spark, d):
     return lines.clean(doc_lines(spark, d)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-FFFD = r"replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([A-Za-z])�([A-Za-z])', '\1’\2', 'g'), '([A-Za-z])�([A-Za-z])', '\1’\2', 'g'), '(^|[^A-Za-z])�($|[^A-Za-z�])', '\1–\2', 'g'), '(^|[^A-Za-z])�($|[^A-Za-z�])', '\1–\2', 'g'), '(^|[^A-Za-z])�(�)', '\1–\2', 'g'), '�', '?')"
+LETTER = "regexp_matches(substr(text, {0}, 1), '[A-Za-z]')"
+FFFD = f"""CASE WHEN contains(text, '�') THEN array_to_string(list_transform(generate_series(1, length(text)), lambda i: CASE WHEN substr(text, i, 1) <> '�' THEN substr(text, i, 1)
+    WHEN i > 1 AND {LETTER.format('i - 1')} AND {LETTER.format('i + 1')} THEN '’' WHEN (i > 1 AND {LETTER.format('i - 1')}) OR {LETTER.format('i + 1')} THEN '?' ELSE '–' END), '') ELSE text END"""
 
 
-@query(f"WITH {CLEAN} SELECT doc_id, line_idx, {FFFD.format('text')} AS text FROM clean WHERE reason IS NULL AND (text IS NULL OR text NOT LIKE '%��%')")
+@query(f"WITH {CLEAN} SELECT doc_id, line_idx, {FFFD} AS text FROM clean WHERE reason IS NULL")
 def clean_survivors(spark, d):
-    kept = lines.clean(doc_lines(spark, d)).filter("reason is null and (text is null or not text like '%��%')")
+    kept = lines.clean(doc_lines(spark, d)).filter("reason is null")
     return kept.select("doc_id", F.col("line_idx").cast("bigint").alias("line_idx"), T.repair_replacement_marks(F.col("text")).alias("text"))
 
 
@@ -157,9 +159,9 @@ def term_stats(spark, d):
     return retrieval.term_stats(read_table(spark, d, "documents"), "doc_id")
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id AS key, rank FROM bmr WHERE rank <= 10")
+@query(f"WITH {BM25} SELECT query_id, doc_id AS key, rank, round(score, 3) AS score FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieval.bm25_top(spark, read_table(spark, d, "documents"), "doc_id").select("query_id", "key", F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.bm25_top(spark, read_table(spark, d, "documents"), "doc_id").select("query_id", "key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 3).alias("score"))
 
 
 GRAMS = f"""g AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(ts, CASE WHEN len(ts) > 1 THEN list_transform(generate_series(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1]) ELSE [] END)) AS term FROM tok) GROUP BY 1, 2),
@@ -174,18 +176,18 @@ def tfidf_weights(spark, d):
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS score
-    FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def knn_cosine_topk(spark, d):
-    return retrieval.cosine_neighbours(read_table(spark, d, "embeddings")).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.cosine_neighbours(read_table(spark, d, "embeddings")).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 3).alias("score"))
 
 
 @query(f"""WITH {BM25}, {GRAMS}, lex AS (SELECT query_id, doc_id, 0.3 * score / coalesce(nullif(max(score) OVER (PARTITION BY query_id), 0), 1) AS part FROM bmr WHERE rank <= 20),
     qn AS (SELECT query_id, sqrt(sum((1 + ln(qf)) * (1 + ln(qf)))) AS qnorm FROM qt GROUP BY 1), cs AS (SELECT query_id, doc_id, round(sum(weight * (1 + ln(qf)) / qnorm), 6) AS score FROM tw JOIN qt USING (term) JOIN qn USING (query_id) GROUP BY 1, 2),
     den AS (SELECT query_id, doc_id, 0.7 * score AS part FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM cs) WHERE r <= 20),
     tot AS (SELECT slot_id, doc_id, round(sum(part), 4) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) JOIN q USING (query_id) GROUP BY 1, 2)
-    SELECT slot_id, doc_id AS key, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY score DESC, doc_id) AS r FROM tot) WHERE r <= 5""")
+    SELECT slot_id, doc_id AS key, r AS rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY score DESC, doc_id) AS r FROM tot) WHERE r <= 5""")
 def hybrid_fusion(spark, d):
-    return retrieval.fusion(spark, read_table(spark, d, "documents"), "doc_id").select("slot_id", "key", F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.fusion(spark, read_table(spark, d, "documents"), "doc_id").select("slot_id", "key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 3).alias("score"))
 
 
 @query(f"""WITH {BM25}, p AS (SELECT query_id, doc_id, list_distinct({TOKENS.format('query')}) AS a, list_distinct(ts) AS b FROM bmr JOIN q USING (query_id) JOIN tok USING (doc_id) WHERE rank <= 20),
@@ -233,7 +235,7 @@ WORDS = r"regexp_split_to_array(trim(regexp_replace(lower(p_name || ' ' || v), '
 
 
 @query(rf"""WITH t AS (SELECT p_partkey, unnest(['Policy', 'Code of Conduct', 'rules', 'Standard Operating Procedure', 'memo']) AS v, p_name FROM part), w AS (SELECT p_partkey, v, {WORDS} AS w FROM t),
-    k AS (SELECT [{', '.join(map(sql_text, D.split(D.TYPE_WORDS)))}] AS known)
+    k AS (SELECT [{', '.join(map(sql_text, D.TYPE_WORDS))}] AS known)
     SELECT p_partkey, v, CASE WHEN len(w) >= 3 AND list_contains(known, array_to_string(w[-3:], ' ')) THEN array_to_string(w[-3:], ' ') WHEN len(w) >= 2 AND list_contains(known, array_to_string(w[-2:], ' ')) THEN array_to_string(w[-2:], ' ')
       WHEN list_contains(known, w[-1]) THEN w[-1] END AS type_word FROM w, k""")
 def type_words(spark, d):
@@ -308,7 +310,7 @@ TABLES = "tabs AS (SELECT DISTINCT doc_id, slot_id, table_idx, cells FROM (SELEC
 
 
 def _hits(text: str) -> str:
-    return "(" + " + ".join(f"CASE WHEN contains(x, {sql_text(k)}) THEN 1 ELSE 0 END" for k in D.split(text)) + ")"
+    return "(" + " + ".join(f"CASE WHEN contains(x, {sql_text(k)}) THEN 1 ELSE 0 END" for k in text) + ")"
 
 
 @query(f"""WITH {TABLES}, h AS (SELECT doc_id, slot_id, table_idx, {_hits(D.GENERIC_SIGNALS)} AS g, {', '.join(f'{_hits(w)} AS h{s}' for s, w in D.TABLE_SIGNALS.items())} FROM (SELECT *, lower(array_to_string(flatten(cells), ' ')) AS x FROM tabs)),
