@@ -217,10 +217,10 @@ def test_subject_models_on_held_out_documents():
 
     made = [[k % 3] if k % 4 else [k % 3, (k + 1) % 3] for k in range(160)]
     labelled = [(doc(s), "en", set(s)) for s in made]
-    t = subjects.Tokens(pa.array([x[0] for x in labelled]), subjects.lang_slot(["en"] * len(labelled)))
-    m = subjects.fit(subjects.background(t, subjects.lang_slot(["en"] * len(labelled))), labelled, [], 3)
+    slots = subjects.lang_slot(["en", None, "EN-us", "xx"] * (len(labelled) // 4 + 1), ["en"])[: len(labelled)]
+    m = subjects.fit(subjects.background(subjects.Tokens(pa.array([x[0] for x in labelled]), slots), slots), [(x[0], x[2]) for x in labelled], 3)
     test = [doc([k % 3]) for k in range(30)] + ["", None]
-    t = subjects.Tokens(pa.array(test, pa.string()), subjects.lang_slot(["en"] * len(test)))
+    t = subjects.Tokens(pa.array(test, pa.string()), m.languages)
     got = {(d, s) for d, s, _ in m.decide(t, m.scores(t), m.threshold)}
     assert subjects.f_score(got, {(k, k % 3) for k in range(30)}) > 0.9
 
@@ -280,3 +280,19 @@ def test_hot_documents_are_split_and_give_the_same_scores(spark, monkeypatch):
         rows = truncation.by_document(spark, vals, cleaned)
         assert rows.filter("kind = 1").count() == 180 and rows.select("doc_id", "salt").filter("doc_id = 'hot'").distinct().count() == (1 if hot > 60 else 6)
         assert {(r.doc_id, r.para_idx, r.score) for r in truncation.score_values(rows, Places).collect()} == want
+
+
+def test_every_language_has_its_own_slot_and_labels_do_not_decide():
+    codes = ["en", "my", "fr", "de", "es", "pt", "nl"]
+    assert subjects.lang_slot([*codes, None, "", "xx", "PT-br"], codes).tolist() == [1, 2, 3, 4, 5, 6, 7, 0, 0, 0, 6]
+    texts = ["the unit keeps the plan and the register"] * 9 + ["die stelle führt das register und den plan"] * 9
+    slots = subjects.lang_slot(["en"] * 8 + ["de"] + ["de"] * 8 + [None], ["en", "de"])  # one wrong label, one missing
+    counts = subjects.background(subjects.Tokens(pa.array(texts), slots), slots).reshape(subjects.LANGS + 2, -1)
+    found = subjects.Tokens(pa.array([*texts, None, ""], pa.string()), subjects.Languages(counts[: subjects.LANGS])).slots
+    assert found[:18].tolist() == [1] * 9 + [2] * 9
+
+
+def test_own_thresholds_lean_on_the_common_one():
+    true = {(d, 0) for d in range(100)} | {(200, 1)}
+    decided = {0.0: true | {(d, 0) for d in range(100, 180)}, 2.0: set(true), 4.0: {(d, 0) for d in range(20)} | {(200, 1)}}
+    assert subjects.own_thresholds(decided, true, 3, 0.0).tolist() == [2.0, 0.0, 0.0]
