@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from vellumspark.plans.registry import ORACLE, QUERIES
+from vellumspark.plans.all import ORACLE, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

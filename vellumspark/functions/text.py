@@ -133,3 +133,14 @@ def repair_myanmar(c: Column) -> Column:
     c = F.regexp_replace(c, r"်{2,}", "်")
     c = F.regexp_replace(c, r"(^|\s)း", "$1")
     return F.regexp_replace(c, " {2,}", " ")
+
+
+def slot_of_text(c: Column) -> Column:
+    """The section that a line names by its beginning; 0 for none."""
+    x = F.coalesce(F.upper(strip(c)), F.lit(""))
+    word = lambda w: (x == w) | x.startswith(f"{w} ")
+    return (
+        F.when(word("INTRODUCTION"), 5).when(word("POLICY STATEMENT"), 6).when(word("DEFINITIONS"), 12).when(word("HISTORY"), 14).when(x.startswith("RELATED POLICIES"), 13)
+        .when(x.startswith("1. PURPOSE") | (x == "PURPOSE"), 7).when(x.startswith("2. SCOPE") | (x == "SCOPE & BENEFICIARIES"), 8).when(x.startswith("3. EXCLUSIONS") | (x == "EXCLUSIONS"), 9)
+        .when(x.startswith("4. AWARD STRUCTURE") | (x == "AWARD STRUCTURE & PAYOUT TIERS"), 10).when(x.startswith("POLICY REVIEW NOTE"), 11).otherwise(0)
+    )
