@@ -296,3 +296,24 @@ def test_own_thresholds_lean_on_the_common_one():
     true = {(d, 0) for d in range(100)} | {(200, 1)}
     decided = {0.0: true | {(d, 0) for d in range(100, 180)}, 2.0: set(true), 4.0: {(d, 0) for d in range(20)} | {(200, 1)}}
     assert subjects.own_thresholds(decided, true, 3, 0.0).tolist() == [2.0, 0.0, 0.0]
+
+
+def test_probes_of_other_scripts_and_compatibility_forms():
+    f = lookalike.form
+    assert f("ɡo") == "go" and f("\u212b\u212a\u2126") == "\u00c5K\u03a9" and f("\uf900") == "\u8c48" and f("\u1100\u1161") == "\uac00"
+    assert f("hоusе") == "house" and f("օffice") == "office" and f("Ꮢeport") == "Report" and f("пoлитика") == "политика"
+    assert lookalike.spell("ор")[1] == "whole_script" and lookalike.spell("дом")[1] is None and f("ор") == "ор"
+    assert lookalike.scripts("ー") == {"Hiragana", "Katakana"} and lookalike.spell("カー")[1] is None
+
+
+def test_texts_of_inert_characters_are_their_own_form():
+    import regex
+
+    pattern = regex.compile(regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", lookalike.candidate()))
+    inert = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not pattern.match(chr(c))]
+    assert set("abz09é’“”–…ßñကမ") <= set(inert) and not set("\u212b\u212a\uf900\u1161о\u00ad၀") & set(inert)
+    assert all(lookalike.form(c) == c for c in inert)
+    rng = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(rng.choices(inert, k=6))
+        assert pattern.search(t) or lookalike.form(t) == t

@@ -278,19 +278,20 @@ class Repairer:
         return ("".join(out) + text[done:], True, None) if out else (text, False, None)
 
 
-def _readings() -> tuple[list[Misread], re.Pattern]:
+def _readings() -> tuple[list[Misread], re.Pattern, re.Pattern]:
     ops = [op for op, _ in OPERATIONS if isinstance(op, Misread)]
-    return ops, re.compile("(?:" + "|".join(dict.fromkeys(op.sequence.pattern for op in ops)) + ")")
+    of = lambda a, b: "[" + "".join(sorted({re.escape(c) for op in ops for c, byte in op.byte.items() if a <= byte <= b})) + "]"
+    return ops, re.compile(of(0xC2, 0xF4) + of(0x80, 0xBF)), re.compile("(?:" + "|".join(dict.fromkeys(op.sequence.pattern for op in ops)) + ")")
 
 
-#: The readings of UTF-8, and a misread sequence in any of the code pages; texts without one are left as they are.
-READINGS, SUSPECT = _readings()
+#: The readings of UTF-8, two characters that begin a misread sequence in some code page, and a whole one in any; texts without are left as they are.
+READINGS, PAIR, SUSPECT = _readings()
 
 
 def readable(text: str) -> str:
     """The text with misread UTF-8 decoded as far as it gets shorter, so that its words and stops can be seen; no search and no counts are needed."""
     for _ in range(3):
-        if text.isascii() or not SUSPECT.search(text):
+        if text.isascii() or not PAIR.search(text) or not SUSPECT.search(text):
             return text
         best = min((op(text) for op in READINGS if op.sequence.search(text)), key=len, default=text)
         if len(best) >= len(text):

@@ -44,7 +44,7 @@ LOCALLY_RIGHT = 0.8
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯါ-ှ�][^\W\d_]*)*|[က-ဿ၌-႟]+")
 #: Ends of sentences: after a stop with its closing marks before something that isn't a small letter, after the Myanmar stop, at line breaks.
 SENTENCE = re.compile(r"(?<=။)\s*|(?<=[.!?;])\s+(?![a-zà-ÿ])|(?<=[.!?][”“»’)\]])\s+(?![a-zà-ÿ])|\s*[\n\r]+\s*|\s+\|\s+")
-WHOLE = re.compile(r"[.!?။;．。]['\"”“»’)\]]*\s*\Z")
+STOPS, CLOSERS = tuple(".!?။;．。"), "'\"”“»’)]"
 
 
 def label_code(label: str | None) -> str | None:
@@ -76,7 +76,7 @@ def is_whole(sentence: str, words: list[str]) -> bool:
     """Whether it ends in a stop, doesn't begin with a small letter (as list items do), and is no mere number or word."""
     first = next((c for c in sentence if c.isalpha()), "")
     size = sum(map(len, words))
-    return WHOLE.search(sentence) is not None and not first.islower() and (len(words) >= 4 and size >= 12 or "က" <= first <= "႟" and size >= 12)
+    return sentence.rstrip().rstrip(CLOSERS).endswith(STOPS) and not first.islower() and (len(words) >= 4 and size >= 12 or "က" <= first <= "႟" and size >= 12)
 
 
 class Model:
@@ -250,15 +250,20 @@ def segments(docs: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
+        parts: dict[str, list[str]] = {}
         known: dict[str, tuple[int, float, int, bool]] = {}  # repeated sentences, as of headings and standing phrases, are read once
         for b in batches:
             where, order, fresh = [], [], {}
             if len(known) > CACHE_SENTENCES:
                 known.clear()
+            if len(parts) > CACHE_SENTENCES:
+                parts.clear()
             for k, paragraphs in enumerate(b.column(2).to_pylist()):
                 for i, p in enumerate(paragraphs or ()):
                     if p:
-                        for s in sentences(form(readable(p))):
+                        if p not in parts:
+                            parts[p] = sentences(form(readable(p)))
+                        for s in parts[p]:
                             where.append((k, i))
                             order.append(s)
                             if s not in known and s not in fresh:

@@ -1,32 +1,42 @@
 """One consistent form of texts that look the same.
 
-For each token the script sets of its letters are intersected. A token whose letters have no common script is mixed; it is spelt
-in the one script in which every letter of it is written or has a look-alike, the script of most of its letters
-first. A token wholly in one script is left alone even if all its letters have look-alikes in another (``whole_script`` reports
-it), since words of another script are meant. A digit that stands for a letter inside a word is put right the same way. What
+For each token the script sets of its letters (Unicode script extensions) are intersected. A token whose letters have no common script is mixed; it is spelt
+in the one script in which every letter of it is written or has a look-alike, Latin before the others, which keep a word with a letter that Latin has no look-alike of.
+A token wholly in one script is left alone even if all its letters have look-alikes in another, since words of another script are meant;
+``whole_script_words`` reports those. Letters of phonetic writing among plain ones, and a digit that stands for a letter inside a word, are put right the same way. What
 remains is normalised: other widths and joined forms, accents apart from their letters, invisible characters, other
-spaces and other hyphens.
+spaces and other hyphens. Texts of inert characters alone are left as they are at once; a character is inert if no rule here changes it, alone or beside others.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import repairer, window_costs
 
-#: Letters that look like a Latin letter (fixed values, from the public table of confusable characters).
+# Letters that look like a Latin letter, by script, and phonetic letters that do, from the public table of confusable characters.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏкАВСЕНІЈКМОРЅТХУԚԜ", "aeopcyxijshdqwlkABCEHIJKMOPSTXYQW"))
 GREEK = dict(zip("οανρικυϲϳχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavpikucjxyABEZHIKMNOPTYX"))
+ARMENIAN = dict(zip("օոսհցզյՍՏՕ", "onuhgqjUSO"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZ4RWVSLCPKB"))
+COPTIC = dict(zip("ⲟⲣⲥⲭⲞⲢⲤⲬⲘⲚⲒⲎ", "opcxOPCXMNIH"))
+PHONETIC = dict(zip("ɑɡᴄᴏᴠᴡᴢꜱ", "agcovwzs"))
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Myanmar", "Hebrew", "Arabic", "Devanagari", "Thai", "Georgian", "Han", "Hiragana", "Katakana", "Hangul")
 DIGITS = {"0": "o", "1": "l"}
-LATIN_OF = CYRILLIC | GREEK
+OTHERS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": {k: v for k, v in CHEROKEE.items() if v.isalpha()}, "Coptic": COPTIC}
+LATIN_OF = {k: v for table in OTHERS.values() for k, v in table.items()}
+BACK = {name: {v: k for k, v in table.items()} for name, table in OTHERS.items()}
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 SPACES = "               　"
 HYPHENS = "‐‑﹣－"
@@ -36,10 +46,9 @@ FORMS = "ﬀ-ﬆ！-，．-￯\U0001d400-\U0001d7ffĲĳǄ-ǌǱ-ǳ"
 TABLE = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS}
 FORM = re.compile(f"[{FORMS}]")
 SPECIAL = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{FORMS}]")
-#: Letters of the scripts that have look-alikes in Latin.
-OTHER_SCRIPT = re.compile("[Ͱ-԰]")
-#: Any character that could make a text differ from its form; texts without one are left as they are at once.
-CANDIDATE = "[" + re.sub(r"[^-]", lambda c: f"\\x{{{ord(c[0]):x}}}", f"{INVISIBLE}{SPACES}{HYPHENS}{FORMS}\u0300-\u036f\u0370-\u052f\u1040\u101d\u102e") + "]|[A-Za-z][01][a-z]"
+#: Letters of the scripts that have look-alikes in Latin, and phonetic ones.
+OTHER_SCRIPT = re.compile("[Ͱ-ԯ԰-֏Ꭰ-Ᏽ\u2c80-\u2cff" + "".join(PHONETIC) + "]")
+PHONETIC_TABLE = str.maketrans(PHONETIC)
 WORD = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 DIGIT_IN_WORD = re.compile(r"(?<=[A-Za-z])[01](?=[a-z])")
@@ -48,36 +57,31 @@ WA_IN_NUMBER = re.compile("(?<=[၀-၉])ဝ(?=[၀-၉]|(?![က-ဿ]))")
 BURMESE = re.compile("[က-ဿ၌-႟]")
 
 
-def script(c: str) -> str | None:
-    """The script of a letter; None for characters of all scripts."""
-    if c < "ɐ":
-        return "Latin" if c.isalpha() and c not in "ªºµ" else None
-    if "Ͱ" <= c < "Ѐ" or "ἀ" <= c < " ":
-        return "Greek" if c.isalpha() else None
-    if "Ѐ" <= c < "԰":
-        return "Cyrillic"
-    if "က" <= c < "Ⴀ":
-        return "Myanmar"
-    if not c.isalpha():
+@lru_cache(maxsize=100_000)
+def scripts(c: str) -> frozenset[str] | None:
+    """The scripts that a letter is used in; None for characters of all scripts, a name of its own for scripts not listed."""
+    if not c.isalpha() or regex.match(r"\p{scx=Common}|\p{scx=Inherited}|[ªºµ]", c):
         return None
-    return unicodedata.name(c, "UNKNOWN").split()[0].title()
+    found = frozenset(s for s in SCRIPTS if regex.match(rf"\p{{scx={s}}}", c))
+    return found or frozenset([unicodedata.name(c, "UNKNOWN").split()[0].title()])
 
 
 def spell(word: str) -> tuple[str, str | None]:
     """The word in one script, and ``mixed`` or ``whole_script`` if its letters say so."""
-    scripts = [script(c) for c in word]
-    own = {s for s in scripts if s}
-    if len(own) < 2:
-        if own <= {"Cyrillic", "Greek"} and own and all(c in LATIN_OF for c, s in zip(word, scripts) if s):
-            return word, "whole_script"
+    own = [(c, s) for c in word if (s := scripts(c)) is not None]
+    if not own:
         return word, None
-    # The Latin script is the only one that letters of the others are look-alikes of and the other way round.
-    common = set.intersection(*({s, "Latin"} if c in LATIN_OF else {s} for c, s in zip(word, scripts) if s))
-    if "Latin" in common:
+    resolved = frozenset.intersection(*(s for _, s in own))
+    if resolved:
+        if "Latin" in resolved:
+            plain = word.translate(PHONETIC_TABLE)
+            return (plain, "mixed") if plain != word and plain.isascii() and any(c.isascii() for c, _ in own) else (word, None)
+        return word, "whole_script" if all(c in LATIN_OF for c, _ in own) else None
+    if all("Latin" in s or c in LATIN_OF for c, s in own):
         return "".join(LATIN_OF.get(c, c) for c in word), "mixed"
-    for s, back in (("Cyrillic", {v: k for k, v in CYRILLIC.items()}), ("Greek", {v: k for k, v in GREEK.items()})):
-        if all(x in (None, s) or c in back for c, x in zip(word, scripts)) and s in own:
-            return "".join(c if x in (None, s) else back[c] for c, x in zip(word, scripts)), "mixed"
+    for name, back in BACK.items():
+        if all(name in s or c in back for c, s in own) and any(name in s for _, s in own):
+            return "".join(c if (s := scripts(c)) is None or name in s else back[c] for c in word), "mixed"
     return word, None
 
 
@@ -114,6 +118,25 @@ def form(text: str) -> str:
     return new
 
 
+@lru_cache(maxsize=1)
+def candidate() -> str:
+    """A pattern of any character that isn't inert, and of digits inside words: of all texts that differ from their form.
+
+    Inert is a character that is its own form, isn't the second of a canonical composition or moved by normalisation, and has no look-alike.
+    Characters beyond the first plane aren't.
+    """
+    second = {int(d[1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c)).split()) and d[0][0] != "<" and len(d) == 2}
+    jamo = range(0x1100, 0x1200)
+    calm = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c not in second and c not in jamo and not unicodedata.combining(chr(c)) and chr(c) not in "၀ဝ" and not OTHER_SCRIPT.match(chr(c)) and form(chr(c)) == chr(c)]
+    ranges: list[list[int]] = []
+    for c in calm:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]|[A-Za-z][01][a-z]"
+
+
 def looks_alike(text: str, plain: str) -> bool:
     """Whether the text is made of other characters than its form; another order of the same characters is no case."""
     return text != plain and (len(text) != len(plain) or sorted(text) != sorted(plain))
@@ -126,9 +149,9 @@ def forms(df: DataFrame, key: str, text: str, cost=None, changed_only: bool = Fa
     """(row_key, para_idx, text, form) of a column of texts (para_idx 0) or of arrays of texts.
 
     cost: a broadcast table of window costs; with it, texts garbled by a wrong encoding come out unchanged.
-    changed_only: only the texts that aren't in their form. Null texts and lists give no row.
+    changed_only: only the texts that aren't in their form; another order of the same characters doesn't count. Null texts and lists give no row.
     """
-    candidate = CANDIDATE
+    pattern = candidate()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = repairer(cost.value) if cost is not None else None
@@ -143,7 +166,7 @@ def forms(df: DataFrame, key: str, text: str, cost=None, changed_only: bool = Fa
                 keys, texts = keys.take(pa.array(parent)), flat
             else:
                 place = np.zeros(len(texts), np.int64)
-            maybe = pc.fill_null(pc.match_substring_regex(texts, candidate), False)
+            maybe = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
             if changed_only:
                 keys, texts, place = keys.filter(maybe), texts.filter(maybe), place[maybe.to_numpy(zero_copy_only=False)]
                 maybe = pa.array(np.ones(len(texts), bool))
@@ -153,7 +176,7 @@ def forms(df: DataFrame, key: str, text: str, cost=None, changed_only: bool = Fa
             plain, keep = [], []
             for t, m in zip(texts.to_pylist(), maybe.to_pylist()):
                 new = form(t) if m else t
-                if new != t and (not looks_alike(t, new) or (repair is not None and repair.text(t)[1])):
+                if new != t and (changed_only and not looks_alike(t, new) or (repair is not None and repair.text(t)[1])):
                     new = t
                 plain.append(new)
                 keep.append(not changed_only or new != t)
@@ -173,3 +196,18 @@ def all_forms(spark: SparkSession, rich: DataFrame, extracted: DataFrame, cleane
 def find_lookalikes(spark: SparkSession, rich: DataFrame, extracted: DataFrame, cleaned: DataFrame) -> DataFrame:
     """The texts of rich_paragraphs and extracted_documents that aren't in their form, each once."""
     return all_forms(spark, rich, extracted, cleaned, True)
+
+
+def whole_script_words(rich: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(word, looks_like, n): words wholly in another script all of whose letters have Latin look-alikes, over all texts of both tables; they are left as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter[str] = Counter()
+            texts = b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), "[\\x{370}-\\x{58f}\\x{13a0}-\\x{13f5}\\x{2c80}-\\x{2cff}]"), False))
+            for t in texts.to_pylist():
+                found.update(m[0] for m in WORD.finditer(t) if not m[0].isascii() and spell(m[0])[1] == "whole_script")
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(("".join(LATIN_OF.get(c, c) for c in w) for w in found), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "looks_like", "n"])
+
+    texts = rich.select("text").unionByName(extracted.select(F.explode("paragraphs").alias("text")))
+    return texts.mapInArrow(run, "word string, looks_like string, n long").groupBy("word", "looks_like").agg(F.sum("n").alias("n"))

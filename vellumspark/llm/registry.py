@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .encoding import find_garbled
 from .language import detect, wrong_labels
-from .lookalike import all_forms, find_lookalikes
+from .lookalike import all_forms, find_lookalikes, whole_script_words
 from .mixing import mix, shares
 from .split import split_oversized
 from .subjects import document_subjects
@@ -72,6 +72,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_changed(spark, sf_dir).select("tab", "row_key", "para_idx")
 
 
+def p4_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words wholly in another script that look like Latin ones, which keep their form."""
+    return whole_script_words(read_table(spark, sf_dir, "rich_paragraphs"), read_table(spark, sf_dir, "extracted_documents"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized chunk."""
     return split_oversized(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "extracted_documents"), read_table(spark, sf_dir, "chunk_limits"))
@@ -118,6 +123,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_changed": p4_changed,
     "p4_forms": p4_forms,
+    "p4_words": p4_words,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
