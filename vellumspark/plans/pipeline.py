@@ -95,15 +95,6 @@ def slot_bindings(spark, d):
     return pipeline.bindings(read_table(spark, d, "section_slots"), read_table(spark, d, "slot_assignments"))
 
 
-@query("""WITH b AS (SELECT doc_id, chunk_id, list_transform(generate_series(0, 383), lambda i: ('0x' || substr(sha256(coalesce(text, '')), (i % 32) * 2 + 1, 2))::INT / 255.0::DOUBLE - 0.5) AS v FROM (SELECT DISTINCT doc_id, chunk_id, text FROM chunks))
-    SELECT DISTINCT doc_id, chunk_id, len(v) AS size, round(v[1] / sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])), 6) AS first, round(v[32] / sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])), 6) AS last FROM b""")
-def hash_vectors(spark, d):
-    """Vectors of chunks without a model."""
-    c = read_table(spark, d, "chunks").select("doc_id", "chunk_id", "text").distinct()
-    v = c.select("doc_id", "chunk_id", pipeline.hash_vectors(c).alias("v"))
-    return v.select("doc_id", "chunk_id", F.size("v").cast("bigint").alias("size"), F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 31), 6).alias("last")).distinct()
-
-
 @query(f"""WITH {RICH}, m AS (SELECT DISTINCT run_id, modified_by FROM rich WHERE modified_by IS NOT NULL) SELECT m.modified_by, count(*) AS n_runs, count(r.run_id) AS n_known, count_if(r.status = 'done') AS n_done, max(r.created_at) AS newest
     FROM m LEFT JOIN (SELECT run_id, min(status) AS status, max(created_at) AS created_at FROM runs GROUP BY 1) r USING (run_id) GROUP BY 1""")
 def editors(spark, d):

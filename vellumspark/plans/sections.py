@@ -71,7 +71,7 @@ def section_presence(spark, d):
     return doc_lines(spark, d).groupBy("doc_id").agg(*[F.coalesce(F.bool_or(first.rlike(p)), F.lit(False)).alias(f"has_{s}") for s, p in GUARDS.items()])
 
 
-@query(rf"""WITH t AS (SELECT line_id, coalesce({STRIP.format("text")}, '') AS x FROM (SELECT *, row_number() OVER (PARTITION BY run_id, version_no, line_idx ORDER BY received_at DESC NULLS LAST, line_id DESC NULLS LAST) AS n FROM rich_paragraphs) WHERE n = 1), u AS (SELECT line_id, upper(x) AS x FROM t),
+@query(rf"""WITH t AS (SELECT line_id, coalesce({STRIP.format("text")}, '') AS x FROM (SELECT *, row_number() OVER (PARTITION BY run_id, version_no, line_idx ORDER BY received_at DESC NULLS LAST, line_id DESC NULLS LAST) AS n FROM rich_paragraphs) WHERE n = 1), u AS (SELECT line_id, upper(replace(replace(x, 'ﬁ', 'fi'), 'ﬂ', 'fl')) AS x FROM t),
     c AS (SELECT line_id, CASE WHEN x = 'INTRODUCTION' OR starts_with(x, 'INTRODUCTION ') THEN 5 WHEN x = 'POLICY STATEMENT' OR starts_with(x, 'POLICY STATEMENT ') THEN 6 WHEN x = 'DEFINITIONS' OR starts_with(x, 'DEFINITIONS ') THEN 12 WHEN x = 'HISTORY' OR starts_with(x, 'HISTORY ') THEN 14
       WHEN starts_with(x, 'RELATED POLICIES') THEN 13 WHEN starts_with(x, '1. PURPOSE') OR x = 'PURPOSE' THEN 7 WHEN starts_with(x, '2. SCOPE') OR x = 'SCOPE & BENEFICIARIES' THEN 8 WHEN starts_with(x, '3. EXCLUSIONS') OR x = 'EXCLUSIONS' THEN 9
       WHEN starts_with(x, '4. AWARD STRUCTURE') OR x = 'AWARD STRUCTURE & PAYOUT TIERS' THEN 10 WHEN starts_with(x, 'POLICY REVIEW NOTE') THEN 11 ELSE 0 END AS slot_id FROM u) SELECT slot_id, count(*) AS n, min(line_id) AS first_id FROM c GROUP BY 1""")
