@@ -27,16 +27,16 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
 def canonical(spark: SparkSession, labelled: DataFrame) -> DataFrame:
     """Labelled lines with their canonical ``label``: that of the same spelling, else of the longest spelling of at least four letters that begins it, else null.
 
-    The prefix case looks up each prefix length that the dictionary has, longest first.
+    The prefix case takes the longest spelling by one pattern of all, longest first.
     """
     dim = label_table(spark)
     keyed = labelled.withColumn("norm", T.label_key(F.col("raw_label")))
     # The dictionary has a fixed number of spellings, so it is looked up as one literal map in each row: no shuffle, no hot key.
     known = {r.norm: r.label for r in dim.collect()}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    sizes = sorted({len(k) for k in known if len(k) >= 4}, reverse=True)
+    prefixes = "|".join(sorted((k for k in known if len(k) >= 4), key=lambda k: (-len(k), k)))
     at = lambda k: F.try_element_at(table, k)
-    by_prefix = F.coalesce(*[F.when(F.length("norm") >= n, at(F.left("norm", F.lit(n)))) for n in sizes])
+    by_prefix = at(F.regexp_extract("norm", f"^({prefixes})", 1))
     label = F.when(F.col("norm") != "", F.coalesce(at(F.col("norm")), by_prefix))
     return keyed.select("doc_id", "line_idx", "raw_label", label.alias("label"), "value")
 

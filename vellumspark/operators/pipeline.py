@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.dictionaries import LABELS, SECTIONS
 from .lines import clean
-from .routing import section_index
+from .routing import heading_of, heading_table
 from .values import valid_values
 
 # The labels of the two sections that are rows of labels, and the text of a section that a document lacks.
@@ -27,7 +27,8 @@ def document_sections(spark: SparkSession, lines: DataFrame) -> DataFrame:
     without lines has the text of a missing one. One shuffle by document serves the index and the grouping.
     """
     kept = clean(lines).filter("reason is null").select("doc_id", "line_idx", "text")
-    placed = section_index(spark, kept).join(kept, ["doc_id", "line_idx"]).filter("slot_id is not null")
+    heads = kept.withColumn("heading", F.when(F.length(heading_of()).between(3, 80), heading_of())).join(heading_table(spark), "heading", "left")
+    placed = heads.withColumn("slot_id", F.last("slot_id", True).over(Window.partitionBy("doc_id").orderBy("line_idx"))).filter("slot_id is not null")
     ordered = F.array_sort(F.collect_list(F.struct("line_idx", T.strip(F.coalesce("text", F.lit(""))).alias("s"))))
     body = placed.filter(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0).groupBy("doc_id", "slot_id").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(ordered, lambda x: x["s"]), "\n").alias("text"), F.lit("heading").alias("backend"))
     slot = F.coalesce(*[F.when(F.col("label").isin(list(ls)), F.lit(s)) for s, ls in LABEL_SECTIONS.items()])

@@ -70,8 +70,8 @@ def grams(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def tfidf(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """(key, term, weight): (1 + ln tf) (ln((1+N)/(1+df)) + 1), each text scaled to length 1; terms of more than 95 % of the texts are left out.
 
-    only: terms, of which alone the weights are given. Terms that stand in one text, most of all, are counted without a join: those of at least two are
-    few enough for Spark to join by size. The length of a text is a window over the partitioning by key, in which the grams are grouped.
+    only: terms, of which alone the weights are given. Terms that stand in one text alone, most of all, aren't in the table that is joined; Spark chooses the
+    join by its size, and where it is a shuffle, adaptive execution splits hot terms. The length of a text is a sum over the partitioning by key.
     """
     g = grams(docs, key, text)
     df = g.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1")
